@@ -56,11 +56,15 @@ def _explode(df: DataFrame, p: str, width: int, levels: int, native_role: int) -
         # probe (native_role 0): role 0 at its own level, role 1 above it; build: role 0 at and above, role 1 at its own
         roles = [(0, own), (1, above)] if native_role == 0 else [(0, own | above), (1, own)]
         for role, when in roles:
-            parts.append(F.when(when, F.transform(bins, lambda x, role=role, m=m: F.struct(F.lit(role).alias("_role"), F.lit(m).alias("_level"), x.alias("_bin")))))
+            parts.append(F.when(when, F.transform(bins, _tagged(role, m))))
     every = F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
     return df.select("*", F.inline(every)).drop("_own")
 
 
+def _tagged(role: int, level: int):
+    return lambda x: F.struct(F.lit(role).alias("_role"), F.lit(level).alias("_level"), x.alias("_bin"))
+
+
 def _condition(keys: list[str]) -> Column:
     cond = (F.col("b_start") <= F.col("a_end")) & (F.col("a_start") <= F.col("b_end"))
     for k in keys:
