@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,17 +63,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     plain aggregates and are joined back, so a hub's neighbours are never gathered
     in one place; each step ends in a table.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _mark(e)
+    e, before = _marked_cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        after = _mark(e)
+        e, after = _marked_cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if after == before:
             break
         before = after
@@ -81,5 +78,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _marked_cut(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksums, gathered while writing."""
+    seen = Observation()
+    h, g = F.xxhash64("u", "v"), F.xxhash64("v", "u")
+    out = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h % 1_000_003).alias("a"), F.sum(g % 998_244_353).alias("b")), "edges")
+    got = seen.get
+    return out, (got.get("n", 0), got.get("a"), got.get("b"))

@@ -36,8 +36,8 @@ BANDS, ROWS, BITS = 50, 5, 4
 PERCENT = 75
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 8
-#: Representatives per large bucket and round.
-REPRESENTATIVES = 8
+#: Representatives per large bucket in the first round; each later one takes ``MORE`` times as many.
+REPRESENTATIVES, MORE = 8, 16
 #: Candidate ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -47,17 +47,33 @@ _B = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """Hashes of words seen lately."""
+_bytes = np.arange(256, dtype=np.uint8)
+#: A-Z lower-cased, plus one so that no byte weighs nothing.
+_lower = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint64) + np.uint64(1)
+_word_byte = ~((_bytes == 0x20) | ((_bytes >= 0x09) & (_bytes <= 0x0D)))
+_weights = np.random.default_rng(97).integers(0, 2**64, 64, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _position_weights(n: int) -> np.ndarray:
+    """At least ``n`` random weights, always the same ones."""
+    global _weights
+    if len(_weights) < n:
+        _weights = np.random.default_rng(97).integers(0, 2**64, max(n, 2 * len(_weights)), dtype=np.uint64)
+    return _weights
 
-_words = _Words()
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit multilinear hash of every word, in order."""
+    x = np.frombuffer(text, np.uint8)
+    inside = np.concatenate(([False], _word_byte[x], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, size = edges[0::2], edges[1::2] - edges[0::2]
+    if not len(first):
+        return np.empty(0, np.uint64)
+    at = np.cumsum(size) - size
+    letters = _lower[x[inside[1:-1]]]
+    place = np.arange(len(letters)) - np.repeat(at, size)
+    return np.add.reduceat(letters * _position_weights(int(size.max()))[place], at) + size.astype(np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,11 +83,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = text.lower().split() if text else []  # bytes: lower() is A-Z only, split() is \x20 \x09-\x0D
-    n = len(words)
+    w = word_hashes(text) if text else np.empty(0, np.uint64)
+    n = len(w)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     size = min(n, SHINGLE)
     h = _mix(w[: n - size + 1] + np.uint64(size))
     for k in range(1, size):
@@ -183,7 +198,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
     sets = cut(text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary").distinct(), "sets")
     sigs = classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig")
     sigs = cut(sigs, "sigs")
-    edges, labels = None, None
+    edges, labels, many = None, None, REPRESENTATIVES
     while True:
         if labels is None:
             live = members.withColumn("comp", F.col("node"))
@@ -191,8 +206,10 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
             live = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         stats = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
         live = cut(live.join(stats, "bucket"), "live")
+        if live.isEmpty():
+            return labels
         big = live.where(F.col("n") > SMALL_BUCKET)
-        reps = big.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("sub")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp")).alias("r")).select("bucket", F.col("r.node").alias("rnode"), F.col("r.comp").alias("rcomp"))
+        reps = big.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(many)).alias("sub")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp")).alias("r")).select("bucket", F.col("r.node").alias("rnode"), F.col("r.comp").alias("rcomp"))
         reps = cut(reps, "reps")
         starred = big.join(reps, "bucket").where("comp <> rcomp").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
         cand = _pairs_of_small(live).unionByName(starred).distinct()
@@ -200,11 +217,11 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
         cand = cut(cand.join(side("u", 0), "u").join(side("v", 1), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
         whole = cand.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
         new = cut(whole.mapInArrow(_confirmed, "u bigint, v bigint"), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = cut(connected_components(edges), "labels")
+        if edges is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            labels = cut(connected_components(edges), "labels")
+        many *= MORE
         members = big.join(reps.select("bucket", F.col("rnode").alias("node")), ["bucket", "node"], "left_anti").select("node", "bucket")
-        if reps.isEmpty():
-            return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
