@@ -45,7 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     df, names, _, text = _sealed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontaminate.flagged(df, items, names, text)
-    return got.where("NOT contaminated").select(*names).toDF(*docs.columns)
+    return got.where("NOT contaminated AND _at >= 0").select(*names).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,17 +141,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, colum
 
 
 def flagged(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``columns`` of every row with ``contaminated``. Texts stay where they are: only the test in the scan is needed.
+    """``columns`` of every row with ``contaminated`` and a row number ``_at``. Texts stay where they are: only the test in the scan is needed.
 
     A window that only shares its hash is ruled out by comparing its words with the
     benchmark's windows, which travel with the plan while they are at most ``MAX_SET``.
+    A filter that also names ``_at`` stays above the projection; else the optimizer would
+    copy the window hashes into it and compute them many times over.
     """
     wanted = benchmark_windows(items, window)
     known = wanted.select("size", "window").limit(MAX_SET + 1).collect()
     if len(known) > MAX_SET:
         at = F.monotonically_increasing_id().alias("_at")
         got = contamination(docs.select(*columns, F.col(text).alias("text"), at), items, window, (*columns, "_at"))
-        return got.select(*columns, (F.col("n_hit") > 0).alias("contaminated"))
+        return got.select(*columns, (F.col("n_hit") > 0).alias("contaminated"), "_at")
     spark = docs.sparkSession
     sizes = sorted({r["size"] for r in known})
     scan = docs.select(*columns, words(text).alias("_w")).withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -164,4 +166,4 @@ def flagged(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "
             inside = _inside(m, [r[1] for r in hashed if r[0] == m])
             texts = [r["window"] for r in known if r["size"] == m]
             hit = hit | F.exists(_named(inside, m), _among(texts))
-    return scan.select(*columns, hit.alias("contaminated"))
+    return scan.select(*columns, hit.alias("contaminated"), F.monotonically_increasing_id().alias("_at"))
