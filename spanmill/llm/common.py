@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SET_HERE = None
+#: Rows of a few numbers each that one task writes, where their count is known.
+ROWS_PER_FILE = 500_000
 
 
 def workspace(spark: SparkSession) -> str:
@@ -27,10 +29,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` as a table in the workspace: lineage ends there, and lost executors cost no recomputation."""
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the workspace: lineage ends there, and lost executors cost no recomputation.
+
+    Where about how many rows come is known, the files are not more than these need.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
@@ -56,32 +63,31 @@ def small_arrow_batches(spark: SparkSession, rows: int):
     return held()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): for every node of ``edges`` (u, v: BIGINT) the smallest node reachable from it.
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, component): for the nodes of ``edges`` (u, v: BIGINT; a table) the smallest node reachable; smallest nodes are left out.
 
-    Alternating large-star and small-star steps until nothing changes. Minima are
-    plain aggregates and are joined back, so a hub's neighbours are never gathered
-    in one place; each step ends in a table.
+    Alternating large-star and small-star steps until nothing changes; then every node
+    has one edge, to its component. Minima are plain aggregates and are joined back, so a
+    hub's neighbours are never gathered in one place; each step ends in a table. A step
+    makes no more edges than it had, so their number, ``rows`` at first, sizes its files.
     """
-    e, before = _marked_cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while before[0]:
+    e, before = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e, after = _marked_cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if after == before:
-            break
-        before = after
-    stars = e.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e, after = _marked_cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
+        if after == before or not after[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before, rows = after, after[0]
 
 
-def _marked_cut(e: DataFrame) -> tuple[DataFrame, tuple]:
+def _marked_cut(e: DataFrame, rows: int | None) -> tuple[DataFrame, tuple]:
     """The edges as a table, and their number and checksums, gathered while writing."""
     seen = Observation()
     h, g = F.xxhash64("u", "v"), F.xxhash64("v", "u")
-    out = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h % 1_000_003).alias("a"), F.sum(g % 998_244_353).alias("b")), "edges")
+    out = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h % 1_000_003).alias("a"), F.sum(g % 998_244_353).alias("b")), "edges", rows)
     got = seen.get
     return out, (got.get("n", 0), got.get("a"), got.get("b"))

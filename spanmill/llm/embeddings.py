@@ -285,7 +285,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         compared = met.repartition(max(1, min(2000, parts * 4)), "a", "b").join(side("a"), "a").join(side("b"), "b")
         found = cut(compared.mapInArrow(_compared(axes, threshold), "u bigint, v bigint, n bigint"), "found")
     counts = found.where("n > 0").groupBy("u").agg(F.sum("n").alias("links"))
-    labels = connected_components(found.where("v IS NOT NULL").select("u", "v"))
+    links = found.where("v IS NOT NULL").select("u", "v")
+    labels = connected_components(links, links.count())
     per = classes.join(counts, classes["rep"] == counts["u"], "left").drop("u").join(labels, F.col("rep") == labels["node"], "left")
     per = per.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("vec_id", "digest").join(per, "digest", "left")

@@ -189,37 +189,39 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
     members = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 AND lo < hi").select("bucket")
     members = cut(members.join(shared, "bucket"), "members")
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    ids = cut(ids, "ids")
+    left = members.count()
+    ids = cut(members.select(F.col("node").alias("doc_id")).distinct(), "ids", left)
     n = ids.count()
     if not n:
         return None
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id IS NOT NULL")
     sets = cut(text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary").distinct(), "sets")
     sigs = classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig")
-    sigs = cut(sigs, "sigs")
-    edges, labels, many = None, None, REPRESENTATIVES
+    sigs = cut(sigs, "sigs", n)
+    labels, many = None, REPRESENTATIVES
     while True:
         if labels is None:
             live = members.withColumn("comp", F.col("node"))
         else:
             live = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         stats = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-        live = cut(live.join(stats, "bucket"), "live")
-        if live.isEmpty():
+        live = cut(live.join(stats, "bucket"), "live", left)
+        left = live.count()
+        if not left:
             return labels
         big = live.where(F.col("n") > SMALL_BUCKET)
         reps = big.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(many)).alias("sub")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp")).alias("r")).select("bucket", F.col("r.node").alias("rnode"), F.col("r.comp").alias("rcomp"))
-        reps = cut(reps, "reps")
+        reps = cut(reps, "reps", left)
         starred = big.join(reps, "bucket").where("comp <> rcomp").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
         cand = _pairs_of_small(live).unionByName(starred).distinct()
         side = lambda p, q: sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
         cand = cut(cand.join(side("u", 0), "u").join(side("v", 1), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
         whole = cand.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
         new = cut(whole.mapInArrow(_confirmed, "u bigint, v bigint"), "links")
-        if edges is None or not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            labels = cut(connected_components(edges), "labels")
+        n = new.count()
+        if n:  # earlier links count as their components' stars
+            edges = new if labels is None else new.unionByName(labels.toDF("u", "v"))
+            labels = connected_components(edges, n + (labels.count() if labels is not None else 0))
         many *= MORE
         members = big.join(reps.select("bucket", F.col("rnode").alias("node")), ["bucket", "node"], "left_anti").select("node", "bucket")
 
