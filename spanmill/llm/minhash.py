@@ -7,6 +7,9 @@
    large ones compare all members with a few representatives, which then leave the
    bucket, until no bucket holds two components that have not been compared. So a
    group of near copies costs rows in proportion to its size, and no link is lost.
+   What still shares a large bucket after the first links shares a common passage
+   rather than most of its text: those members go on by their rarest shingles, of
+   which two linked sets always share one (a quarter of a set, rarest first).
 4. A candidate pair is dropped when the collision-corrected estimate from its packed
    bits lies more than six standard deviations under the threshold; all others are
    confirmed on the full sets.
@@ -38,6 +41,8 @@ PERCENT = 75
 SMALL_BUCKET = 8
 #: Representatives per large bucket in the first round; each later one takes ``MORE`` times as many.
 REPRESENTATIVES, MORE = 8, 16
+#: Cells that hold the frequencies of shingles (8 bytes each).
+CELLS = 2**18
 #: Candidate ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -177,6 +182,47 @@ def _confirmed(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
+def _frequencies(batches):
+    """(cell, n): how many of the sets' shingles fall into each cell."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for s in batch.column("s").to_pylist():
+            np.add.at(counts, _cell(np.frombuffer(s, np.uint64)), 1)
+    at = np.flatnonzero(counts)
+    for i in range(0, len(at), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(counts[at[i : i + 100_000]])], ["cell", "n"])
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(CELLS)).astype(np.int64)
+
+
+def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set linked with it has one of them among its own rarest."""
+    n = len(s)
+    return s[np.lexsort((s, counts[_cell(s)]))[: n - -(-n * PERCENT // 100) + 1]]
+
+
+def _prefixes(counts):
+    def f(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                g = [prefix(np.frombuffer(s, np.uint64), counts.value).view(np.int64) for s in part.column("s").to_pylist()]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in g])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(g))], ["node", "bucket"])
+
+    return f
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(node, bucket) of the rarest shingles of every set; the frequencies are kept in ``CELLS`` cells, whatever the input."""
+    counts = np.zeros(CELLS, np.int64)
+    got = sets.select("s").mapInArrow(_frequencies, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts)), "node bigint, bucket bigint")
+
+
 def _pairs_of_small(live: DataFrame) -> DataFrame:
     got = live.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.collect_set(F.struct("node", "comp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))))
@@ -198,7 +244,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
     sets = cut(text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary").distinct(), "sets")
     sigs = classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig")
     sigs = cut(sigs, "sigs", n)
-    labels, many = None, REPRESENTATIVES
+    labels, many, by_band, first = None, REPRESENTATIVES, True, True
     while True:
         if labels is None:
             live = members.withColumn("comp", F.col("node"))
@@ -209,6 +255,13 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | N
         left = live.count()
         if not left:
             return labels
+        if by_band and not first:
+            by_band, many = False, REPRESENTATIVES
+            unlike = live.where(F.col("n") > SMALL_BUCKET).select("node").distinct()
+            members = cut(rare_shingles(sets.join(unlike, "node", "left_semi")).unionByName(live.where(F.col("n") <= SMALL_BUCKET).select("node", "bucket")), "rare")
+            left = members.count()
+            continue
+        first = False
         big = live.where(F.col("n") > SMALL_BUCKET)
         reps = big.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(many)).alias("sub")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp")).alias("r")).select("bucket", F.col("r.node").alias("rnode"), F.col("r.comp").alias("rcomp"))
         reps = cut(reps, "reps", left)
