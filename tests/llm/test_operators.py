@@ -120,6 +120,26 @@ def test_estimate_is_near_the_similarity():
 # 3 ---------------------------------------------------------------------------------
 
 
+def test_linked_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    counts = np.zeros(minhash.CELLS, np.int64)
+    sets, n = [], 0
+    for size in (1, 2, 3, 4, 5, 8, 40, 100):
+        for _ in range(6):
+            base = np.concatenate((rng.choice(common, size), rng.integers(0, 2**63, size, dtype=np.uint64)))
+            for drop in range(0, size, max(1, size // 5)):
+                sets.append(np.unique(base[drop:]))
+    for s in sets:
+        np.add.at(counts, minhash._cell(s), 1)
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            if minhash.linked(a.tobytes(), b.tobytes()):
+                n += 1
+                assert np.intersect1d(minhash.prefix(a, counts), minhash.prefix(b, counts)).size
+    assert n > 50
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(8, 16))
