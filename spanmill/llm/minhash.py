@@ -4,16 +4,19 @@
    ``BANDS * ROWS`` minima, of which bands are hashed and the low four bits packed.
 2. Texts with equal sets form classes; a class is its smallest doc_id.
 3. Classes that share a band bucket are candidates. Small buckets give their pairs;
-   large ones compare all members with a few representatives, which then leave the
-   bucket, until no bucket holds two components that have not been compared. So a
-   group of near copies costs rows in proportion to its size, and no link is lost.
-   What still shares a large bucket after the first links shares a common passage
-   rather than most of its text: those members go on by their rarest shingles, of
-   which two linked sets always share one (a quarter of a set, rarest first).
-4. A candidate pair is dropped when the collision-corrected estimate from its packed
+   in large ones all members are compared with one of them.
+4. Large buckets that still hold several components hold texts that resemble each
+   other and mostly are not linked. Comparing them pair by pair would grow with the
+   square of the group, so they are joined exactly by what sets them apart. Buckets
+   with common members form a neighbourhood with a pivot set P. As
+   |X ^ Y| = |(X ^ P) ^ (Y ^ P)|, two sets are linked if and only if their
+   differences from P overlap enough: a prefix filter with positions over these short
+   differences, rarest shingles first. Sets so near to P that no overlap is needed
+   are linked with the nearest one.
+5. A candidate pair is dropped when the collision-corrected estimate from its packed
    bits lies more than six standard deviations under the threshold; all others are
    confirmed on the full sets.
-5. Components come from the confirmed links.
+6. Components come from the confirmed links.
 
 With 50 bands of 5 rows a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75**5)**50 = 1.3e-6, less above it.
@@ -37,10 +40,10 @@ from spanmill.llm.common import connected_components, cut
 SHINGLE = 5
 BANDS, ROWS, BITS = 50, 5, 4
 PERCENT = 75
+#: Sets X and Y are linked when WHOLE * |X ^ Y| <= APART * (|X| + |Y|).
+WHOLE, APART = 100 + PERCENT, 100 - PERCENT
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 8
-#: Representatives per large bucket in the first round; each later one takes ``MORE`` times as many.
-REPRESENTATIVES, MORE = 8, 16
 #: Cells that hold the frequencies of shingles (8 bytes each).
 CELLS = 2**18
 #: Candidate ids up to which they are broadcast (8 bytes each).
@@ -197,10 +200,24 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return (s % np.uint64(CELLS)).astype(np.int64)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, so many that any set linked with it has one of them among its own rarest."""
-    n = len(s)
-    return s[np.lexsort((s, counts[_cell(s)]))[: n - -(-n * PERCENT // 100) + 1]]
+def slack(d: int, n: int) -> int:
+    """What a set of ``n`` shingles, ``d`` of them and the pivot's apart, adds to the overlap a link needs: 2 * WHOLE * overlap >= sum of both."""
+    return WHOLE * d - APART * n
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a difference, the rarest shingles that two differences with an overlap of ``least`` or more must share one of, and how many are left from each on."""
+    order = s[np.lexsort((s, counts[_cell(s)]))][: max(0, len(s) - least + 1)]
+    left = len(s) - np.arange(len(order))
+    shared = counts[_cell(order)] > 1
+    return order[shared], left[shared]
+
+
+def _differences(batches):
+    for batch in batches:
+        d = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True) for s, p in zip(batch.column("s").to_pylist(), batch.column("p").to_pylist(), strict=True)]
+        slacks = [slack(len(x), len(s) // 8) for x, s in zip(d, batch.column("s").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("blob", "node", "comp", "minor")), pa.array(slacks, pa.int64()), pa.array([x.tobytes() for x in d], pa.binary())], ["blob", "node", "comp", "minor", "slack", "s"])
 
 
 def _prefixes(counts):
@@ -208,75 +225,89 @@ def _prefixes(counts):
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                g = [prefix(np.frombuffer(s, np.uint64), counts.value).view(np.int64) for s in part.column("s").to_pylist()]
-                nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in g])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(g))], ["node", "bucket"])
+                got = [prefix(np.frombuffer(s, np.uint64), counts.value, max(1, -(-(k + low) // (2 * WHOLE)))) for s, k, low in zip(*(part.column(c).to_pylist() for c in ("s", "slack", "low")), strict=True)]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(g) for g, _ in got]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("blob", "node", "comp", "minor", "slack")), pa.array(np.concatenate([g for g, _ in got]).view(np.int64)), pa.array(np.concatenate([r for _, r in got]))], ["blob", "node", "comp", "minor", "slack", "shingle", "left"])
 
     return f
 
 
-def rare_shingles(sets: DataFrame) -> DataFrame:
-    """(node, bucket) of the rarest shingles of every set; the frequencies are kept in ``CELLS`` cells, whatever the input."""
+def _counted(differences: DataFrame):
+    """How many differences hold a shingle, in ``CELLS`` cells whatever the input, as a broadcast."""
     counts = np.zeros(CELLS, np.int64)
-    got = sets.select("s").mapInArrow(_frequencies, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = differences.select("s").mapInArrow(_frequencies, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts)), "node bigint, bucket bigint")
+    return differences.sparkSession.sparkContext.broadcast(counts)
+
+
+def resembling(live: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """(u, v): candidates among the members of unresolved buckets (bucket, node, comp) that leave no link between components out.
+
+    Only pairs of different components are made, so the largest component of a
+    neighbourhood, which may be nearly all of it, is never joined with itself.
+    """
+    spread = live.join(live.groupBy("bucket").agg(F.min("node").alias("v")), "bucket").select(F.col("node").alias("u"), "v").distinct()
+    blobs = connected_components(cut(spread, "spread", rows), rows)
+    nodes = live.groupBy("node", "comp").agg(F.count("*").alias("n")).join(blobs, "node", "left")
+    nodes = cut(nodes.select("node", "comp", "n", F.coalesce("component", "node").alias("blob")), "resembling", rows)
+    pivots = nodes.groupBy("blob").agg(F.max_by("node", F.struct("n", "node")).alias("pivot"))
+    major = nodes.groupBy("blob", "comp").agg(F.count("*").alias("k")).groupBy("blob").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    pivots = pivots.join(major, "blob").join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot").select("blob", "major", "p")
+    whole = nodes.join(pivots, "blob").join(sets, "node").select("blob", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "s", "p")
+    apart = cut(whole.mapInArrow(_differences, "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, s binary"), "differences")
+    nearest = apart.groupBy("blob").agg(F.min("slack").alias("low"), F.min_by(F.struct("node", "comp"), F.struct("slack", "node")).alias("at"))
+    apart = apart.join(cut(nearest, "nearest"), "blob")
+    near = apart.where("slack + low <= 0 AND comp <> at.comp").select(F.least("node", "at.node").alias("u"), F.greatest("node", "at.node").alias("v"))
+    held = apart.mapInArrow(_prefixes(_counted(apart)), "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, shingle bigint, left bigint")
+    held = cut(held, "prefixes")
+    one, two = held.where("minor").alias("x"), held.alias("y")
+    enough = F.expr(f"x.comp <> y.comp AND (NOT y.minor OR x.node < y.node) AND {2 * WHOLE} * least(x.left, y.left) >= x.slack + y.slack")
+    met = one.join(two, (F.col("x.blob") == F.col("y.blob")) & (F.col("x.shingle") == F.col("y.shingle")) & enough)
+    return near.unionByName(met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")))
+
+
+def _pairs_of_small(members: DataFrame) -> DataFrame:
+    got = members.groupBy("bucket").agg(F.collect_set("node").alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("u"), y.alias("v")))))
+    return got.select(F.inline(pairs))
 
 
-def _pairs_of_small(live: DataFrame) -> DataFrame:
-    got = live.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.collect_set(F.struct("node", "comp")).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))))
-    return got.select(F.inline(pairs))
+def _joined(cand: DataFrame, sets: DataFrame, sigs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """(node, component) after the candidates (u, v) that are linked have been joined."""
+    side = lambda p: sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
+    cand = cut(cand.distinct().join(side("u"), "u").join(side("v"), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
+    whole = cand.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    new = cut(whole.mapInArrow(_confirmed, "u bigint, v bigint"), "links")
+    n = new.count()
+    if not n:
+        return labels
+    if labels is None:
+        return connected_components(new, n)
+    return connected_components(new.unionByName(labels.toDF("u", "v")), n + labels.count())  # earlier links count as their components' stars
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(node, component) of every class that is linked with another; None where no bucket is shared."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(node, component) of every class that is linked with another; None where there is none."""
     members = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 AND lo < hi").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 AND lo < hi").select("bucket", "n")
     members = cut(members.join(shared, "bucket"), "members")
     left = members.count()
+    if not left:
+        return None
     ids = cut(members.select(F.col("node").alias("doc_id")).distinct(), "ids", left)
     n = ids.count()
-    if not n:
-        return None
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id IS NOT NULL")
     sets = cut(text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary").distinct(), "sets")
-    sigs = classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig")
-    sigs = cut(sigs, "sigs", n)
-    labels, many, by_band, first = None, REPRESENTATIVES, True, True
-    while True:
-        if labels is None:
-            live = members.withColumn("comp", F.col("node"))
-        else:
-            live = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        stats = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-        live = cut(live.join(stats, "bucket"), "live", left)
-        left = live.count()
-        if not left:
-            return labels
-        if by_band and not first:
-            by_band, many = False, REPRESENTATIVES
-            unlike = live.where(F.col("n") > SMALL_BUCKET).select("node").distinct()
-            members = cut(rare_shingles(sets.join(unlike, "node", "left_semi")).unionByName(live.where(F.col("n") <= SMALL_BUCKET).select("node", "bucket")), "rare")
-            left = members.count()
-            continue
-        first = False
-        big = live.where(F.col("n") > SMALL_BUCKET)
-        reps = big.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(many)).alias("sub")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp")).alias("r")).select("bucket", F.col("r.node").alias("rnode"), F.col("r.comp").alias("rcomp"))
-        reps = cut(reps, "reps", left)
-        starred = big.join(reps, "bucket").where("comp <> rcomp").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
-        cand = _pairs_of_small(live).unionByName(starred).distinct()
-        side = lambda p, q: sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
-        cand = cut(cand.join(side("u", 0), "u").join(side("v", 1), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
-        whole = cand.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        new = cut(whole.mapInArrow(_confirmed, "u bigint, v bigint"), "links")
-        n = new.count()
-        if n:  # earlier links count as their components' stars
-            edges = new if labels is None else new.unionByName(labels.toDF("u", "v"))
-            labels = connected_components(edges, n + (labels.count() if labels is not None else 0))
-        many *= MORE
-        members = big.join(reps.select("bucket", F.col("rnode").alias("node")), ["bucket", "node"], "left_anti").select("node", "bucket")
+    sigs = cut(classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig"), "sigs", n)
+    big = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "node")
+    firsts = big.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rnode"))
+    starred = big.join(firsts, "bucket").where("node <> rnode").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
+    labels = _joined(_pairs_of_small(members.where(F.col("n") <= SMALL_BUCKET)).unionByName(starred), sets, sigs, None)
+    live = big.withColumn("comp", F.col("node")) if labels is None else big.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    live = cut(live, "live", left)
+    live = cut(live.join(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "bucket", "left_semi"), "unresolved", left)
+    left = live.count()
+    return _joined(resembling(live, sets, left), sets, sigs, labels) if left else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,7 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = cut(reps, "classes")
     classes = rows.join(reps, "digest").where("doc_id = rep").select("rep", F.col("n").alias("nset"), "bands", "sig").dropDuplicates(["rep", "sig"])
-    labels = links(docs, rows, classes)
+    labels = links(docs, classes)
     if labels is not None:
         reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:

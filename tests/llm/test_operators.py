@@ -120,24 +120,51 @@ def test_estimate_is_near_the_similarity():
 # 3 ---------------------------------------------------------------------------------
 
 
-def test_linked_sets_share_a_rare_shingle():
+def test_differences_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     common = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    counts = np.zeros(minhash.CELLS, np.int64)
-    sets, n = [], 0
+    sets, met, near = [], 0, 0
     for size in (1, 2, 3, 4, 5, 8, 40, 100):
         for _ in range(6):
             base = np.concatenate((rng.choice(common, size), rng.integers(0, 2**63, size, dtype=np.uint64)))
             for drop in range(0, size, max(1, size // 5)):
                 sets.append(np.unique(base[drop:]))
-    for s in sets:
-        np.add.at(counts, minhash._cell(s), 1)
-    for i, a in enumerate(sets):
-        for b in sets[:i]:
-            if minhash.linked(a.tobytes(), b.tobytes()):
-                n += 1
-                assert np.intersect1d(minhash.prefix(a, counts), minhash.prefix(b, counts)).size
-    assert n > 50
+    for pivot in (np.empty(0, np.uint64), sets[0], sets[-1], sets[-4]):
+        apart = [np.setxor1d(s, pivot) for s in sets]
+        slack = [minhash.slack(len(d), len(s)) for d, s in zip(apart, sets, strict=True)]
+        counts = np.zeros(minhash.CELLS, np.int64)
+        for d in apart:
+            np.add.at(counts, minhash._cell(d), 1)
+        held = [dict(zip(*(x.tolist() for x in minhash.prefix(d, counts, max(1, -(-(k + min(slack)) // (2 * minhash.WHOLE))))), strict=True)) for d, k in zip(apart, slack, strict=True)]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                needed = slack[i] + slack[j]
+                if needed <= 0:
+                    near += 1
+                    assert minhash.linked(a.tobytes(), b.tobytes())
+                elif minhash.linked(a.tobytes(), b.tobytes()):
+                    met += 1
+                    assert any(2 * minhash.WHOLE * min(n, held[j].get(g, 0)) >= needed for g, n in held[i].items())
+    assert met > 200 and near > 5
+
+
+def test_minhash_of_unlinked_copies(spark):
+    """One large group around a text, with members too far from most others, and pairs of such members that are linked."""
+    rng = random.Random(6)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(260):
+        v = list(base)
+        for _ in range(i % 9):
+            v[rng.randrange(150)] = f"q{rng.randrange(10**6)}"
+        texts.append(" ".join(v))
+        if i % 9 == 8 and i % 2:
+            v[3] = "other"
+            texts.append(" ".join(v))
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = components(sets, [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    assert 20 < len(set(want.values())) < 200
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
 def test_embeddings_equal_brute_force(spark):
