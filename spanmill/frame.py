@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmill.functions.predicates import INTEGRAL
 from spanmill.operators import query, setops
+from spanmill.plans.running import ranged, running
+from spanmill.sources.workspace import fresh_path, nullable, remove
 
-#: Rows of one contig from which its windows are split into bins.
-HOT_ROWS = 2_000_000
+#: Rows of one contig from which its windows are split into ranges, and rows a range then has.
+HOT_ROWS, RANGE_ROWS = 2_000_000, 500_000
 
 
 @dataclass(frozen=True)
 class Stats:
+    """What chooses strategies: rows, rows of the largest contig, the longest and a typical length, the outermost finite coordinates."""
+
     rows: int
     max_rows: int
-    longest: int
+    longest: float
     typical: float
-    low: int
-    high: int
+    low: float
+    high: float
 
 
 class IntervalFrame:
     """Intervals as columns ``*keys, start, end, value, ord``.
 
-    Integral coordinates become BIGINT. Rows with a NULL coordinate never match and
-    are dropped; inverted rows (start > end) are dropped, swapped or refused by
-    ``on_inverted``. ``ord`` must be unique; without one, rows are numbered.
+    Integral coordinates become BIGINT. Rows with a NULL (or NaN) coordinate never match
+    and are dropped; inverted rows (start > end) are dropped, swapped or refused by
+    ``on_inverted``. A row with a NULL key matches nothing. ``ord`` must be unique; without
+    one, rows are numbered, and the numbers hold within one result (``numbered`` fixes them).
+    ``stats`` spares the aggregate that would gather them.
     """
 
-    def __init__(self, df: DataFrame, keys=("contig",), start="start", end="end", value: str | None = "value", ord: str | None = None, on_inverted: str = "drop"):
+    def __init__(self, df: DataFrame, keys=("contig",), start="start", end="end", value: str | None = "value", ord: str | None = None, on_inverted: str = "drop", stats: Stats | None = None):
         s, e = F.col(start), F.col(end)
         types = {df.schema[c].dataType.__class__ for c in (start, end)}
         self.integral = all(issubclass(t, INTEGRAL) for t in types)
@@ -49,11 +56,15 @@ class IntervalFrame:
         number = F.col(ord) if ord else F.monotonically_increasing_id()
         payload = F.col(value) if value and value in df.columns else F.lit(None).cast("bigint")
         keep = F.col(start).isNotNull() & F.col(end).isNotNull()
+        for c in (start, end):
+            if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+                keep = keep & ~F.isnan(F.col(c))
         if on_inverted == "drop":
             keep = keep & (F.col(start) <= F.col(end))
         self.keys = tuple(keys)
         self.df = df.where(keep).select(*self.keys, s.alias("start"), e.alias("end"), payload.alias("value"), number.alias("ord"))
-        self._stats: Stats | None = None
+        self._stats: Stats | None = stats
+        self._path: str | None = None
 
     # construction and lifecycle ------------------------------------------------------
 
@@ -92,13 +103,21 @@ class IntervalFrame:
 
     def _with(self, df: DataFrame) -> IntervalFrame:
         out = object.__new__(IntervalFrame)
-        out.df, out.keys, out.integral, out._stats = df, self.keys, self.integral, None
+        out.df, out.keys, out.integral, out._stats, out._path = df, self.keys, self.integral, None, None
         return out
 
     def derive(self, df: DataFrame) -> IntervalFrame:
         """A frame over ``df``, which has this frame's keys and start, end, value; rows are numbered anew."""
         return IntervalFrame(df, keys=self.keys)
 
+    def numbered(self) -> IntervalFrame:
+        """The same rows as a written table, so that their numbers are the same wherever it is read."""
+        spark, path = self.df.sparkSession, fresh_path(self.df.sparkSession, "numbered")
+        self.save(path)
+        out = self._with(spark.read.schema(nullable(self.df.schema)).parquet(path))
+        out._stats, out._path = self._stats, path
+        return out
+
     def build(self, partitions: int | None = None) -> IntervalFrame:
         """Co-locate each contig's ranges and sort them: start ascending, end descending."""
         cols = [*self.keys, "start"]
@@ -113,7 +132,11 @@ class IntervalFrame:
         return self
 
     def destroy(self) -> None:
+        """Let go of what the frame holds: cached blocks, and the table that ``numbered`` wrote."""
         self.df.unpersist()
+        if self._path:
+            remove(self.df.sparkSession, self._path)
+            self._path = None
 
     def size(self) -> int:
         return self.df.count()
@@ -126,28 +149,33 @@ class IntervalFrame:
     def stats(self) -> Stats:
         """Row counts and lengths that choose strategies; one aggregate, kept."""
         if self._stats is None:
-            if not self.integral:
-                n = self.df.count()
-                self._stats = Stats(n, n, 0, 1.0, 0, 0)
-            else:
-                span = F.col("end").cast("double") - F.col("start")
-                per = self.df.groupBy(*self.keys).agg(F.count("*").alias("n"), F.max(span).alias("m"), F.sum(F.log1p(span)).alias("l"), F.min("start").alias("lo"), F.max("end").alias("hi"))
-                r = per.agg(F.sum("n"), F.max("n"), F.max("m"), F.sum("l"), F.min("lo"), F.max("hi")).first()
-                n = r[0] or 0
-                self._stats = Stats(n, r[1] or 0, int(r[2] or 0), float(2.718281828459045 ** ((r[3] or 0.0) / n)) if n else 1.0, r[4] or 0, r[5] or 0)
+            s, e = F.col("start").cast("double"), F.col("end").cast("double")
+            finite = (F.abs(s) < float("inf")) & (F.abs(e) < float("inf"))
+            span = F.when(finite, e - s)
+            size = F.log1p(span) if self.integral else F.when(span > 0, F.log(span))
+            edges = [F.min("start"), F.max("end")] if self.integral else [F.min(F.when(F.abs(x) < float("inf"), x)) for x in (s, e)] + [F.max(F.when(F.abs(x) < float("inf"), x)) for x in (s, e)]
+            per = self.df.groupBy(*self.keys).agg(F.count("*").alias("_n"), F.max(span).alias("_m"), F.sum(size).alias("_l"), F.count(size).alias("_k"), F.count_if(~finite).alias("_open"), *[x.alias(f"_x{i}") for i, x in enumerate(edges)])
+            r = per.agg(F.sum("_n"), F.max("_n"), F.max("_m"), F.sum("_l"), F.sum("_k"), F.sum("_open"), *[F.min(f"_x{i}") for i in range(len(edges))], *[F.max(f"_x{i}") for i in range(len(edges))]).first()
+            known = [x for x in r[6:] if x is not None]
+            low, high = (min(known), max(known)) if known else (0, 0)
+            longest = (r[2] or 0) if not r[5] else high - low
+            typical = math.exp(r[3] / r[4]) if r[4] else 1.0 if self.integral else (high - low) / max(1, r[0] or 0)
+            self._stats = Stats(r[0] or 0, r[1] or 0, longest, typical, low, high)
         return self._stats
 
-    def window_bin(self) -> int | None:
-        """Bin width for windows over a contig too large for a task; None where none is."""
+    def window_parts(self) -> int | None:
+        """Ranges for windows over a contig too large for a task; None where none is."""
         s = self.stats()
-        return max(1, (s.high - s.low) // max(64, s.max_rows // 200_000)) if s.max_rows > HOT_ROWS else None
+        return max(64, -(-s.rows // RANGE_ROWS)) if s.max_rows > HOT_ROWS else None
 
     # element access ------------------------------------------------------------------
 
     def with_index(self) -> DataFrame:
         """Canonical position ``idx`` (from 0) within the keys: start ascending, end descending."""
-        w = Window.partitionBy(*self.keys).orderBy(F.asc("start"), F.desc("end"), F.asc("ord"))
-        return self.df.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
+        keys, parts = list(self.keys), self.window_parts()
+        df = self.df.withColumn("_one", F.lit(1).cast("bigint"))
+        df = ranged(df, keys, "start", parts) if parts else df
+        return running(df, keys, [F.asc("start"), F.desc("end"), F.asc("ord")], [("idx", "_one", "sum")], parts).select(*self.df.columns, (F.col("idx") - 1).alias("idx"))
 
     def indexed(self) -> IntervalFrame:
         return self._with(self.with_index())

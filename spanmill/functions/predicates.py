@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def _column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
     """End-inclusive overlap: a shared endpoint counts."""
-    return (F.col(b_start) if isinstance(b_start, str) else b_start).__le__(F.col(a_end) if isinstance(a_end, str) else a_end) & (
-        F.col(a_start) if isinstance(a_start, str) else a_start
-    ).__le__(F.col(b_end) if isinstance(b_end, str) else b_end)
+    return (_column(b_start) <= _column(a_end)) & (_column(a_start) <= _column(b_end))
 
 
 def contains_point(start, end, point) -> Column:

@@ -65,9 +65,9 @@ def count_point(self, points, strategy="auto") -> DataFrame:
 
 
 def _lists(self, queries, what) -> DataFrame:
-    found = rangejoin.left_pairs(queries, self.indexed(), ["idx", "value"])
-    pair = F.struct(F.col("b_idx").alias("idx"), F.col("b_value").alias("value"))
-    got = found.groupBy(F.col("a_ord").alias("qid")).agg(F.sort_array(F.filter(F.collect_list(pair), lambda x: x["idx"].isNotNull()), asc=False).alias("found"))
+    pair = F.when(F.col("b_idx").isNotNull(), F.struct(F.col("b_idx").alias("idx"), F.col("b_value").alias("value")))
+    found = F.sort_array(F.collect_list(pair), asc=False).alias("found")
+    got = rangejoin.per_probe(queries, self.indexed(), [found], b_columns=["idx", "value"])
     return got.select("qid", F.transform("found", lambda x: x[what]).alias({"idx": "idxs", "value": "values"}[what]))
 
 
@@ -83,8 +83,8 @@ def search_values_batch(self, queries) -> DataFrame:
 
 def has_overlaps(self, queries, strategy="auto") -> DataFrame:
     """qid, hit: whether anything overlaps, false included."""
-    if strategy == "sweep" or strategy == "auto" and self.integral and queries.integral:
-        return sweep.running_exists(queries, self, self.window_bin()).withColumnRenamed("ord", "qid")
+    if strategy in ("sweep", "auto"):
+        return sweep.running_exists(queries, self, self.window_parts()).withColumnRenamed("ord", "qid")
     return count(self, queries, strategy).select("qid", (F.col("n") > 0).alias("hit"))
 
 
@@ -106,38 +106,33 @@ def count(self, queries, strategy="auto") -> DataFrame:
     """qid, n: number of overlaps, 0 included."""
     if strategy == "auto":
         s = self.stats()
-        dense = s.rows and s.max_rows * s.typical / max(1, s.high - s.low) > SWEEP_ROWS
-        strategy = "sweep" if dense and self.integral and queries.integral else "auto"
+        dense = s.rows and s.high > s.low and s.max_rows * s.typical / (s.high - s.low) > SWEEP_ROWS
+        strategy = "sweep" if dense else "auto"
     if strategy == "sweep":
-        return sweep.rank_count(queries, self, self.window_bin()).withColumnRenamed("ord", "qid")
-    found = rangejoin.left_pairs(queries, self, [], strategy)
-    return found.groupBy(F.col("a_ord").alias("qid")).agg(F.count("b_start").alias("n"))
+        return sweep.rank_count(queries, self, self.window_parts()).withColumnRenamed("ord", "qid")
+    return rangejoin.per_probe(queries, self, [F.count("b_start").alias("n")], strategy=strategy)
 
 
-def coverage(self, queries, strategy="auto", inclusive: bool = False) -> DataFrame:
-    """qid, n, covered: overlaps and the sum of ``min(ends) - max(starts)`` (plus one each if ``inclusive``)."""
-    found = rangejoin.left_pairs(queries, self, [], strategy)
+def coverage(self, queries, strategy="auto", inclusive: bool = False, carry: list[str] = ()) -> DataFrame:
+    """qid, n, covered: overlaps and the sum of ``min(ends) - max(starts)`` (plus one each if ``inclusive``); ``carry`` adds columns of the query."""
     part = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + (1 if inclusive else 0)
-    return found.groupBy(F.col("a_ord").alias("qid")).agg(
-        F.count("b_start").alias("n"), F.coalesce(F.sum(F.when(F.col("b_start").isNotNull(), part)), F.lit(0).cast("bigint")).alias("covered")
-    )
+    covered = F.coalesce(F.sum(F.when(F.col("b_start").isNotNull(), part)), F.lit(0).cast("bigint" if self.integral and queries.integral else "double"))
+    return rangejoin.per_probe(queries, self, [F.count("b_start").alias("n"), covered.alias("covered")], carry, strategy=strategy)
 
 
 def total_overlaps(self, queries, strategy="auto") -> DataFrame:
     """One row, n: overlaps of all queries together."""
     if strategy == "sweep":
-        return sweep.rank_count(queries, self, self.window_bin()).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+        return sweep.rank_count(queries, self, self.window_parts()).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
     return _pairs(self, queries, [], strategy).agg(F.count("*").alias("n"))
 
 
 def upper_bound(self, points) -> DataFrame:
-    """qid, idx: largest canonical index whose start is at most the point's ``start``; NULL where none is."""
-    from spanmill.plans.running import running
-
+    """qid, idx: largest canonical index whose start is at most the point's ``start``; NULL where none is, or with a NULL key."""
     keys = list(self.keys)
     kind = points.df.schema["ord"].dataType
-    events = self.with_index().select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), "idx", F.lit(None).cast(kind).alias("qid")).unionByName(
-        points.df.select(*keys, F.col("start").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast("bigint").alias("idx"), F.col("ord").alias("qid"))
+    events = sweep.keyed(self.df, keys).select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_one"), F.lit(None).cast(kind).alias("qid")).unionByName(
+        points.df.select(*keys, F.col("start").alias("_x"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_one"), F.col("ord").alias("qid"))
     )
-    run = running(events, keys, "_x", [F.col("_x"), F.col("_o")], [("_m", "idx", "max")], self.window_bin())
-    return run.where("_o = 1").select("qid", F.col("_m").alias("idx"))
+    run = sweep.run(events, keys, [("_n", "_one", "sum")], self.window_parts())
+    return run.where("_o = 1").select("qid", F.when(F.col("_n") > 0, F.col("_n") - 1).alias("idx"))

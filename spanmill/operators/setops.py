@@ -26,7 +26,7 @@ def span(self) -> DataFrame:
 
 def merge_overlaps(self, combine="first", fold_order: str = "end") -> DataFrame:
     """Runs of overlapping intervals as one; touching at a point merges, adjacency does not."""
-    with_island = islands(self.df, list(self.keys), _order(fold_order), self.window_bin())
+    with_island = islands(self.df, list(self.keys), _order(fold_order), self.window_parts())
     return with_island.groupBy(*self.keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), combiner(combine, "value", _fold(fold_order)).alias("value"), F.count("*").alias("n")).drop("_island")
 
 
@@ -41,7 +41,7 @@ def gaps(self, lo: int | None = None, hi: int | None = None, bounds: DataFrame |
         bounds = (self.df.select(*keys).distinct() if keys else spark.range(1)).select(*keys, F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"))
     bounds = bounds.select(*keys, F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
     geometry = self.df.select(*keys, "start", "end", "ord")
-    flagged = islands(geometry, keys, _order("end"), self.window_bin()).where("_new = 1").select(*keys, "start", "_pm")
+    flagged = islands(geometry, keys, _order("end"), self.window_parts()).where("_new = 1").select(*keys, "start", "_pm")
     hull = geometry.groupBy(*keys).agg(F.max("end").alias("_last"))
     if keys:
         between, after = flagged.join(bounds, keys), bounds.join(hull, keys, "left")
@@ -82,15 +82,15 @@ def difference(self, other, strategy="auto") -> DataFrame:
     self.require_integral("difference")
     keys = list(self.keys)
     # covers are merged first: each row then meets disjoint covers only
-    merged = islands(other.df.select(*keys, "start", "end", "ord"), keys, _order("end"), other.window_bin()).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("ord").alias("ord"))
+    merged = islands(other.df.select(*keys, "start", "end", "ord"), keys, _order("end"), other.window_parts()).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("ord").alias("ord"))
     covers = other._with(merged.select(*keys, "start", "end", F.lit(None).cast("bigint").alias("value"), "ord"))
     covers._stats = other.stats()
-    p = rangejoin.left_pairs(self, covers, [], strategy)
+    p = rangejoin.outer(self, covers, [], strategy)
     hit = F.col("b_start").isNotNull()
     p = p.select(*[F.col(f"a_{c}").alias(c) for c in (*keys, "start", "end", "value", "ord")], F.when(hit, F.greatest("a_start", "b_start")).alias("cs"), F.when(hit, F.least("a_end", "b_end")).alias("ce"))
     w = Window.partitionBy("ord").orderBy("cs")
-    pe, nxt = F.lag("ce").over(w), F.lead("cs").over(w)
-    p = p.withColumns({"pe": pe, "nx": nxt})
+    p = p.withColumns({"pe": F.lag("ce").over(w), "nx": F.lead("cs").over(w), "rn": F.row_number().over(w), "any": F.max("cs").over(Window.partitionBy("ord"))})
+    p = p.where("cs IS NOT NULL OR rn = 1 AND any IS NULL")  # of a row that meets no cover, one
     before = F.struct(F.coalesce(F.col("pe") + 1, F.col("start")).alias("s"), (F.col("cs") - 1).alias("e"))
     after = F.struct(F.coalesce(F.col("ce") + 1, F.col("start")).alias("s"), F.col("end").alias("e"))
     pieces = F.when(F.col("cs").isNull(), F.array(after)).when(F.col("nx").isNull(), F.array(before, after)).otherwise(F.array(before))

@@ -8,65 +8,116 @@ Strategies
 Binned: every row has a level, the least whose bins it spans at most ``SPAN`` of;
 level m has bins of ``width * SPAN**m``. A pair is made at the higher of its two
 rows' levels and only in its owner bin, that of ``greatest(starts)``, so it comes
-exactly once and a contig-wide container costs a bounded number of bins.
+exactly once and a contig-wide container costs a bounded number of bins. Coordinates
+may be integral or floating; infinite ends count as the outermost finite ones when
+bins are chosen.
+
+Outer forms group the exploded rows by the probe's number, so a frame whose rows were
+numbered on the fly is evaluated once.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions.predicates import overlaps
+
 SPAN = 32
 SMALL_ROWS = 2_000
 #: Product of the largest rows per contig of both sides up to which the residual condition is cheap.
 EQUI_PAIRS = 4_096
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Bins of ``width * SPAN**level``, for ``levels`` levels; floating coordinates are clamped to [low, high]."""
+
+    width: float
+    levels: int = 1
+    integral: bool = True
+    low: float = 0.0
+    high: float = 0.0
+
+    def cell(self, at: str, level: int = 0) -> str:
+        size = self.width * SPAN**level
+        if self.integral:
+            return f"({at}) div {int(size)}L"
+        return f"CAST(floor(least(greatest(CAST({at} AS DOUBLE), CAST('{self.low!r}' AS DOUBLE)), CAST('{self.high!r}' AS DOUBLE)) / CAST('{float(size)!r}' AS DOUBLE)) AS BIGINT)"
+
+    def exploded(self, df: DataFrame, start: str, end: str, probe: bool, tag: str = "") -> DataFrame:
+        """One row per (role, level, bin). Role 0 is for pairs at the probe's own level, role 1 for those above it."""
+        role, lvl, cell = f"_role{tag}", f"_level{tag}", f"_bin{tag}"
+
+        def bins(m: int) -> Column:
+            return F.expr(f"sequence({self.cell(start, m)}, {self.cell(end, m)})")
+
+        if self.levels == 1:
+            return df.withColumn(cell, F.explode(bins(0))).withColumns({role: F.lit(0), lvl: F.lit(0)})
+        own = f"_own{tag}"
+        df = df.withColumn(own, sum(F.expr(f"{self.cell(end, m)} - {self.cell(start, m)} > {SPAN}").cast("int") for m in range(self.levels - 1)))
+        parts = []
+        for m in range(self.levels):
+            here, above = F.col(own) == m, F.col(own) < m
+            # a probe has role 0 at its own level and role 1 above it; a stored row role 0 at its own and above, role 1 at its own
+            for r, when in [(0, here), (1, above)] if probe else [(0, here | above), (1, here)]:
+                parts.append(F.when(when, F.transform(bins(m), _tagged(r, m, role, lvl, cell))))
+        every = F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+        return df.select("*", F.inline(every)).drop(own)
+
+    def owns(self, a_start: str, b_start: str, level: str, tag: str = "") -> Column:
+        """The bin is that of the pair's larger start."""
+        cases = "".join(f" WHEN {m} THEN {self.cell(f'greatest({a_start}, {b_start})', m)}" for m in range(self.levels))
+        return F.expr(f"a__bin{tag} = CASE {level}{cases} END")
+
+
+def _tagged(role: int, level: int, *names: str):
+    return lambda x: F.struct(F.lit(role).alias(names[0]), F.lit(level).alias(names[1]), x.alias(names[2]))
+
+
+def met(a: DataFrame, b: DataFrame, grid: Grid, more: Column, how: str = "inner", owned: bool = True) -> DataFrame:
+    """The join of two frames (columns ``a_*`` and ``b_*``) over the bins of ``grid``."""
+    ax = grid.exploded(a, "a_start", "a_end", True).withColumnsRenamed({"_bin": "a__bin", "_role": "a__role", "_level": "a__level"})
+    bx = grid.exploded(b, "b_start", "b_end", False).withColumnsRenamed({"_bin": "b__bin", "_role": "b__role", "_level": "b__level"})
+    on = (F.col("a__bin") == F.col("b__bin")) & more
+    if grid.levels > 1:
+        on = on & (F.col("a__role") == F.col("b__role")) & (F.col("a__level") == F.col("b__level"))
+    if owned:
+        on = on & grid.owns("a_start", "b_start", "a__level")
+    out = ax.join(bx, on, how)
+    return out.drop("a__bin", "a__role", "a__level", "b__bin", "b__role", "b__level")
+
+
 def choose(a, b, keys: list[str]) -> str:
     """Strategy from the statistics of both frames."""
     sa, sb = a.stats(), b.stats()
     if not keys and min(sa.rows, sb.rows) <= SMALL_ROWS:
         return "broadcast"
-    if keys and sa.max_rows * sb.max_rows <= EQUI_PAIRS or not (a.integral and b.integral):
+    if keys and sa.max_rows * sb.max_rows <= EQUI_PAIRS:
         return "equi"
     return "binned"
 
 
-def width_of(a, b) -> int:
-    return max(1, int(4 * max(a.stats().typical, b.stats().typical)))
-
-
-def levels_of(a, b, width: int) -> int:
-    longest, n = max(a.stats().longest, b.stats().longest), 1
+def grid_of(a, b, width: float | None = None) -> Grid:
+    """A grid for both frames, by default with bins of four typical lengths."""
+    sa, sb = a.stats(), b.stats()
+    integral = a.integral and b.integral
+    low, high = min(sa.low, sb.low), max(sa.high, sb.high)
+    width = width or 4 * max(sa.typical, sb.typical)
+    if integral:
+        width = max(1, int(width))
+    else:
+        width = max(width, (high - low) / 2**40) or 1.0
+    longest, n = max(sa.longest, sb.longest), 1
     while longest > width * SPAN**n:
         n += 1
-    return n
-
-
-def _explode(df: DataFrame, p: str, width: int, levels: int, native_role: int) -> DataFrame:
-    """One row per (role, level, bin): role ``native_role`` at the row's own level and above (build) or at it (probe)."""
-    s, e = f"{p}start", f"{p}end"
-    if levels == 1:
-        return df.withColumn("_bin", F.explode(F.sequence(F.expr(f"{s} div {width}L"), F.expr(f"{e} div {width}L")))).withColumns({"_role": F.lit(0), "_level": F.lit(0)})
-    df = df.withColumn("_own", sum((F.expr(f"({e} div {width * SPAN**m}L) - ({s} div {width * SPAN**m}L)") > SPAN).cast("int") for m in range(levels - 1)))
-    parts = []
-    for m in range(levels):
-        bins = F.sequence(F.expr(f"{s} div {width * SPAN**m}L"), F.expr(f"{e} div {width * SPAN**m}L"))
-        own, above = F.col("_own") == m, F.col("_own") < m
-        # probe (native_role 0): role 0 at its own level, role 1 above it; build: role 0 at and above, role 1 at its own
-        roles = [(0, own), (1, above)] if native_role == 0 else [(0, own | above), (1, own)]
-        for role, when in roles:
-            parts.append(F.when(when, F.transform(bins, _tagged(role, m))))
-    every = F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
-    return df.select("*", F.inline(every)).drop("_own")
-
-
-def _tagged(role: int, level: int):
-    return lambda x: F.struct(F.lit(role).alias("_role"), F.lit(level).alias("_level"), x.alias("_bin"))
+    return Grid(width, n, integral, float(low), float(high))
 
 
 def _condition(keys: list[str]) -> Column:
-    cond = (F.col("b_start") <= F.col("a_end")) & (F.col("a_start") <= F.col("b_end"))
+    cond = overlaps("a_start", "a_end", "b_start", "b_end")
     for k in keys:
         cond = cond & (F.col(f"a_{k}") == F.col(f"b_{k}"))
     return cond
@@ -78,50 +129,61 @@ def sides(a, b, b_columns: list[str] | None = None) -> tuple[DataFrame, DataFram
     return a.df.select([F.col(c).alias(f"a_{c}") for c in a.df.columns]), b.df.select([F.col(c).alias(f"b_{c}") for c in b.df.columns if need is None or c in need])
 
 
-def pairs(a, b, b_columns: list[str] | None = None, strategy: str = "auto", width: int | None = None) -> DataFrame:
+def _keys(a, b) -> list[str]:
+    if list(a.keys) != list(b.keys):
+        raise ValueError(f"key columns differ: {list(a.keys)} and {list(b.keys)}")
+    return list(a.keys)
+
+
+def pairs(a, b, b_columns: list[str] | None = None, strategy: str = "auto", width: float | None = None) -> DataFrame:
     """One row per overlapping pair, columns ``a_*`` and ``b_*``."""
-    keys = list(a.keys)
-    if keys != list(b.keys):
-        raise ValueError(f"key columns differ: {keys} and {list(b.keys)}")
+    keys = _keys(a, b)
     how = choose(a, b, keys) if strategy == "auto" else strategy
     left, right = sides(a, b, b_columns)
     cond = _condition(keys)
     if how == "equi":
         return left.join(right, cond)
     if how == "broadcast":
-        small_b = b.stats().rows <= a.stats().rows
         if min(a.stats().rows, b.stats().rows) > SMALL_ROWS:
             raise ValueError(f"neither side has at most {SMALL_ROWS} rows; use strategy='binned'")
+        small_b = b.stats().rows <= a.stats().rows
         return left.join(F.broadcast(right), cond) if small_b else F.broadcast(left).join(right, cond).select(*left.columns, *right.columns)
-    width = width or width_of(a, b)
-    levels = levels_of(a, b, width)
-    ax = _explode(left, "a_", width, levels, 0)
-    bx = _explode(right, "b_", width, levels, 1)
-    on = (ax["_bin"] == bx["_bin"]) & cond
-    if levels > 1:
-        on = on & (ax["_role"] == bx["_role"]) & (ax["_level"] == bx["_level"])
-    owner = F.expr(f"greatest(a_start, b_start) div {width}L")
-    for m in range(1, levels):
-        owner = F.when(ax["_level"] == m, F.expr(f"greatest(a_start, b_start) div {width * SPAN**m}L")).otherwise(owner)
-    return ax.join(bx, on & (ax["_bin"] == owner)).select(*left.columns, *right.columns)
-
-
-def left_pairs(a, b, b_columns: list[str] | None = None, strategy: str = "auto", width: int | None = None) -> DataFrame:
-    """As ``pairs``, with one row of NULL ``b_*`` for a row without partners."""
-    keys, how = list(a.keys), choose(a, b, list(a.keys)) if strategy == "auto" else strategy
+    return met(left, right, grid_of(a, b, width), cond).select(*left.columns, *right.columns)
+
+
+def outer(a, b, b_columns: list[str] | None = None, strategy: str = "auto", width: float | None = None) -> DataFrame:
+    """As ``pairs``, and at least one row for each row of a: where ``b_*`` is NULL the row says nothing, and there may be several such."""
+    keys = _keys(a, b)
+    how = choose(a, b, keys) if strategy == "auto" else strategy
     left, right = sides(a, b, b_columns)
-    if how in ("equi", "broadcast") and keys:
-        return left.join(right, _condition(keys), "left")
-    found = pairs(a, b, b_columns, how, width).select(F.col("a_ord").alias("_ord"), *right.columns)
-    return left.join(found, F.col("a_ord") == F.col("_ord"), "left").drop("_ord")
+    cond = _condition(keys)
+    if how == "equi" and keys:
+        return left.join(right, cond, "left")
+    if how == "broadcast" and b.stats().rows <= SMALL_ROWS:
+        return left.join(F.broadcast(right), cond, "left")
+    return met(left, right, grid_of(a, b, width), cond, "left")
+
+
+def per_probe(a, b, aggregates: list[Column], carry: list[str] = (), b_columns: list[str] = (), strategy: str = "auto") -> DataFrame:
+    """qid, the probe's columns ``carry`` and ``aggregates`` over its partners."""
+    found = outer(a, b, list(b_columns), strategy)
+    kept = [F.first(f"a_{c}").alias(c) for c in carry]
+    return found.groupBy(F.col("a_ord").alias("qid")).agg(*kept, *aggregates)
 
 
 def exists(a, b, negate: bool = False, strategy: str = "auto") -> DataFrame:
     """Rows of a that have (or, negated, lack) an overlap in b."""
-    how = choose(a, b, list(a.keys)) if strategy == "auto" else strategy
+    keys = _keys(a, b)
+    how = choose(a, b, keys) if strategy == "auto" else strategy
     left, right = sides(a, b, [])
+    cond = _condition(keys)
     kind = "left_anti" if negate else "left_semi"
-    if how in ("equi", "broadcast") and a.keys:
-        return left.join(right, _condition(list(a.keys)), kind)
-    found = pairs(a, b, [], how).select(F.col("a_ord").alias("_ord")).distinct()
-    return left.join(found, F.col("a_ord") == F.col("_ord"), kind)
+    if how == "equi" and keys:
+        return left.join(right, cond, kind)
+    if how == "broadcast" and b.stats().rows <= SMALL_ROWS:
+        return left.join(F.broadcast(right), cond, kind)
+    grid = grid_of(a, b)
+    if not negate:
+        return met(left, right, grid, cond, kind, owned=False).dropDuplicates(["a_ord"])
+    got = met(left, right, grid, cond, "left").groupBy("a_ord").agg(F.first(F.struct(*left.columns)).alias("_a"), F.count("b_start").alias("_n"))
+    return got.where("_n = 0").select(*[F.col(f"_a.{c}").alias(c) for c in left.columns])

@@ -2,7 +2,8 @@
 
 ``count(q) = #(b.start <= q.end) - #(b.end < q.start)``, valid since start <= end
 on both sides. At equal coordinates a start comes before a probe, a probe before
-an end. Cost is that of a sort, whatever the number of overlapping pairs.
+an end. Cost is that of a sort, whatever the number of overlapping pairs. A NULL key
+matches nothing, as in a join.
 """
 
 from __future__ import annotations
@@ -10,10 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.plans.running import running
+from spanmill.plans.running import ranged, running
 
 
-def rank_count(a, b, width: int | None = None) -> DataFrame:
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that can match: those without a NULL key."""
+    return df.dropna(subset=keys) if keys else df
+
+
+def run(events: DataFrame, keys: list[str], specs, parts: int | None) -> DataFrame:
+    events = ranged(events, keys, "_x", parts) if parts else events
+    return running(events, keys, [F.col("_x"), F.col("_o")], specs, parts)
+
+
+def rank_count(a, b, parts: int | None = None) -> DataFrame:
     """(ord, n): overlaps of each row of a."""
     keys = list(a.keys)
     zero, one, none = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.lit(None).cast(a.df.schema["ord"].dataType)
@@ -21,27 +32,26 @@ def rank_count(a, b, width: int | None = None) -> DataFrame:
     def part(df, x, o, ds, de, q, kind):
         return df.select(*keys, F.col(x).alias("_x"), F.lit(o).alias("_o"), ds.alias("_ds"), de.alias("_de"), q.alias("_q"), F.lit(kind).alias("_kind"))
 
-    events = (
-        part(b.df, "start", 0, one, zero, none, 0)
-        .unionByName(part(b.df, "end", 2, zero, one, none, 0))
-        .unionByName(part(a.df, "end", 1, zero, zero, F.col("ord"), 1))
-        .unionByName(part(a.df, "start", 1, zero, zero, F.col("ord"), 2))
-    )
-    run = running(events, keys, "_x", [F.col("_x"), F.col("_o")], [("_s", "_ds", "sum"), ("_e", "_de", "sum")], width)
+    # every row's two events come from one evaluation of it
+    both = F.explode(F.array(F.struct(F.col("end").alias("x"), F.lit(1).alias("kind")), F.struct(F.col("start").alias("x"), F.lit(2).alias("kind")))).alias("p")
+    probes = a.df.select(*keys, F.col("ord"), both).select(*keys, F.col("p.x").alias("_x"), F.lit(1).alias("_o"), zero.alias("_ds"), zero.alias("_de"), F.col("ord").alias("_q"), F.col("p.kind").alias("_kind"))
+    stored = keyed(b.df, keys)
+    events = part(stored, "start", 0, one, zero, none, 0).unionByName(part(stored, "end", 2, zero, one, none, 0)).unionByName(probes)
+    got = run(events, keys, [("_s", "_ds", "sum"), ("_e", "_de", "sum")], parts)
     return (
-        run.where("_kind > 0")
+        got.where("_kind > 0")
         .groupBy("_q")
         .agg((F.max(F.when(F.col("_kind") == 1, F.col("_s"))) - F.max(F.when(F.col("_kind") == 2, F.col("_e")))).alias("n"))
         .withColumnRenamed("_q", "ord")
     )
 
 
-def running_exists(a, b, width: int | None = None) -> DataFrame:
+def running_exists(a, b, parts: int | None = None) -> DataFrame:
     """(ord, hit): whether the largest end among ``b.start <= q.end`` reaches ``q.start``."""
     keys = list(a.keys)
-    kind = a.df.schema["ord"].dataType
-    events = b.df.select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.col("end").alias("_end"), F.lit(None).cast(kind).alias("_q"), F.lit(None).cast("bigint").alias("_qs")).unionByName(
-        a.df.select(*keys, F.col("end").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast("bigint").alias("_end"), F.col("ord").alias("_q"), F.col("start").cast("bigint").alias("_qs"))
+    kind, at = a.df.schema["ord"].dataType, b.df.schema["start"].dataType
+    events = keyed(b.df, keys).select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.col("end").alias("_end"), F.lit(None).cast(kind).alias("_q"), F.lit(None).cast(at).alias("_qs")).unionByName(
+        a.df.select(*keys, F.col("end").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast(at).alias("_end"), F.col("ord").alias("_q"), F.col("start").cast(at).alias("_qs"))
     )
-    run = running(events, keys, "_x", [F.col("_x"), F.col("_o")], [("_m", "_end", "max")], width)
-    return run.where("_o = 1").select(F.col("_q").alias("ord"), F.coalesce(F.col("_m") >= F.col("_qs"), F.lit(False)).alias("hit"))
+    got = run(events, keys, [("_m", "_end", "max")], parts)
+    return got.where("_o = 1").select(F.col("_q").alias("ord"), F.coalesce(F.col("_m") >= F.col("_qs"), F.lit(False)).alias("hit"))

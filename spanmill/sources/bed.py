@@ -35,8 +35,7 @@ def write_bed(df: DataFrame, path: str, half_open: bool = True) -> None:
 
 def coverage_report(stored: IntervalFrame, queries: IntervalFrame) -> DataFrame:
     """contig, start, end, n, covered: one line per query, zeros where nothing overlaps."""
-    got = stored.coverage(queries)
-    return queries.df.join(got, queries.df["ord"] == got["qid"]).select(*queries.keys, "start", "end", "n", "covered")
+    return stored.coverage(queries, carry=[*queries.keys, "start", "end"]).select(*queries.keys, "start", "end", "n", "covered")
 
 
 def write_report(report: DataFrame, path: str) -> None:

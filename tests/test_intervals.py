@@ -18,28 +18,69 @@ def bag(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
-F1 = [(10, 20, 0), (11, 12, -1), (13, 14, -1), (15, 16, -1), (25, 29, 4)]
+NESTED = [(100, 180, "outer"), (105, 108, "x"), (112, 115, "x"), (140, 150, "x"), (190, 230, "late")]
 
 
 def test_basics(spark):
-    f = frame(spark, F1)
-    q = f.one(17, 30)
-    assert f.search_values_batch(q).first()["values"] == [4, 0]
+    f = frame(spark, NESTED)
+    q = f.one(160, 200)
+    assert f.search_values_batch(q).first()["values"] == ["late", "outer"]
     assert f.search_idxs_batch(q).first()["idxs"] == [4, 0]
     assert f.count(q).first()["n"] == 2
-    assert f.coverage(f.one(10, 29)).first()[1:] == (5, 17)
-    assert f.has_overlaps(q).first()["hit"] and not f.has_overlaps(f.one(1, 3)).first()["hit"]
-    assert f.at(4) == (25, 29, 4) and f.size() == 5
-    with pytest.raises(IndexError):
-        f.at(5)
-    with pytest.raises(IndexError):
-        f.at(-1)
+    assert f.coverage(f.one(100, 230)).first()[1:] == (5, 80 + 3 + 3 + 10 + 40)
+    assert f.coverage(f.one(100, 230), inclusive=True).first()["covered"] == 136 + 5
+    assert f.has_overlaps(q).first()["hit"] and not f.has_overlaps(f.one(1, 99)).first()["hit"]
+    assert f.at(4) == (190, 230, "late") and f.size() == 5 and f.clear().size() == 0
+    for i in (5, -1):
+        with pytest.raises(IndexError):
+            f.at(i)
+    assert {tuple(r) for r in f.upper_bound(IntervalFrame.from_arrays(spark, [99, 100, 139, 500], [99, 100, 139, 500])).collect()} == {(0, None), (1, 0), (2, 2), (3, 4)}
 
 
 def test_duplicates_and_shared_endpoints(spark):
-    f = frame(spark, [(3, 40, 0), (3, 40, 4), (3, 40, 4), (3, 4, 4), (35, 50, 4), (40, 400, 5), (40, 400, 4)])
-    assert f.count(f.one(38, 41)).first()["n"] == 6
-    assert f.count(f.one(41, 42)).first()["n"] == 3
+    f = frame(spark, [(7, 60, 1)] * 3 + [(7, 9, 1), (55, 90, 1), (60, 61, 2), (60, 700, 2)])
+    assert [f.count(f.one(*q)).first()["n"] for q in ((58, 61), (61, 62), (9, 9), (700, 800))] == [6, 3, 4, 1]
+
+
+def test_predicates(spark):
+    from spanmill.functions.predicates import contains_point, overlaps
+
+    df = spark.createDataFrame([(1, 5, 5, 9), (1, 4, 5, 9), (6, 7, 5, 9)], "a int, b int, c int, d int")
+    assert [r[0] for r in df.select(overlaps("a", "b", "c", "d")).collect()] == [True, False, True]
+    assert [r[0] for r in df.select(contains_point("c", "d", "b")).collect()] == [True, False, True]
+
+
+def test_python_combiner(spark):
+    from spanmill.functions.combine import PythonCombiner
+
+    f = frame(spark, [(1, 5, "a"), (3, 8, "b"), (20, 30, "c")])
+    assert bag(f.merge_overlaps(PythonCombiner(lambda x, y: f"{x}<{y}", "string")), "start", "end", "value") == Counter([(1, 8, "a<b"), (20, 30, "c")])
+    n = frame(spark, [(1, 5, None), (3, 8, 4)])
+    assert n.merge_overlaps(PythonCombiner(lambda x, y: (x or 0) + (y or 0), "bigint")).first()["value"] == 4
+
+
+@pytest.mark.parametrize("strategy", ["auto", "equi", "binned", "sweep"])
+def test_null_keys_match_nothing(spark, strategy):
+    schema = "contig string, start bigint, end bigint, ord bigint"
+    f = IntervalFrame(spark.createDataFrame([(None, 1, 9, 0), ("c", 1, 9, 1)], schema), ord="ord")
+    assert {tuple(r) for r in f.count(f, strategy).collect()} == {(0, 0), (1, 1)}
+    assert {tuple(r) for r in f.has_overlaps(f, strategy).collect()} == {(0, False), (1, True)}
+    how = "auto" if strategy == "sweep" else strategy
+    assert [r["ord"] for r in f.with_overlaps(f, how).collect()] == [1] and [r["ord"] for r in f.without_overlaps(f, how).collect()] == [0]
+
+
+def test_numbers_made_on_the_fly(spark):
+    """Frames without ``ord`` over a shuffled input answer each row once."""
+    df = spark.range(3000).selectExpr("id % 3 AS contig", "id AS start", "id + id % 7 AS end").repartition(7)
+    f = IntervalFrame(df, value=None)
+    for how in ("equi", "binned", "sweep"):
+        got = f.count(f, how).collect()
+        assert len(got) == 3000 and min(r["n"] for r in got) >= 1
+    assert f.without_overlaps(f, "binned").count() == 0 and f.with_overlaps(f, "binned").count() == 3000
+    assert f.difference(f, "binned").count() == 0
+    kept = f.numbered()
+    assert kept.size() == 3000
+    kept.destroy()
 
 
 def test_existence_looks_past_the_last_start(spark):
@@ -97,6 +138,15 @@ def test_doubles_refuse_integer_operators(spark):
     assert f.count(f).first()["n"] == 1
 
 
+@pytest.mark.parametrize("strategy", ["auto", "equi", "binned", "sweep"])
+def test_doubles_equal_brute_force(spark, strategy):
+    rng = random.Random(8)
+    rows = [(i % 3, x := rng.uniform(-1, 1), x + rng.choice([0.0, 0.01, 0.5, 1e3, float("inf")]), i) for i in range(150)] + [(0, float("-inf"), 0.2, 150), (1, float("nan"), 1.0, 151)]
+    f = IntervalFrame(spark.createDataFrame(rows, "contig bigint, start double, end double, ord bigint"), ord="ord")
+    want = {q[3]: sum(q[0] == b[0] and b[1] <= q[2] and q[1] <= b[2] for b in rows[:-1]) for q in rows[:-1]}
+    assert {r[0]: r[1] for r in f.count(f, strategy).collect()} == want
+
+
 def _random(spark, rounds, seed):
     rng, rows = random.Random(seed), []
     for c in range(rounds):
@@ -118,8 +168,13 @@ def test_pairs_equal_brute_force(spark, strategy, width):
 @pytest.mark.parametrize("hot", [False, True])
 def test_sweeps_and_set_algebra_equal_brute_force(spark, hot, monkeypatch):
     (a, ra), (b, rb) = _random(spark, 100, 3), _random(spark, 100, 4)
-    if hot:  # windows split into bins
-        monkeypatch.setattr(IntervalFrame, "window_bin", lambda self: 9)
+    if hot:  # windows split into ranges
+        monkeypatch.setattr(IntervalFrame, "window_parts", lambda self: 9)
+        index = lambda f: {r["value"]: r["idx"] for r in f.with_index().collect()}
+        split = index(a)
+        monkeypatch.setattr(IntervalFrame, "window_parts", lambda self: None)
+        assert index(a) == split
+        monkeypatch.setattr(IntervalFrame, "window_parts", lambda self: 9)
     n = Counter(x[3] for x in ra for y in rb if x[0] == y[0] and y[1] <= x[2] and x[1] <= y[2])
     assert {r["qid"]: r["n"] for r in b.count(a, "sweep").collect()} == {x[3]: n[x[3]] for x in ra}
     assert {r["qid"]: r["hit"] for r in b.has_overlaps(a).collect()} == {x[3]: n[x[3]] > 0 for x in ra}
@@ -144,11 +199,23 @@ def test_boxes(spark):
     assert got == {q[0]: sum(r[1] <= q[2] and q[1] <= r[2] and r[3] <= q[4] and q[3] <= r[4] for r in b) for q in a}
 
 
+def test_boxes_of_all_sizes(spark):
+    rng = random.Random(9)
+    size = lambda: rng.choice([0.0, 0.01, 1.0, 3000.0, 1e6])
+    box = lambda i: (i, x := rng.uniform(-50, 50), x + size(), y := rng.uniform(-50, 50), y + size())
+    a, b = [box(i) for i in range(70)] + [(70, 0.0, float("inf"), 0.0, 1.0)], [box(i) for i in range(90)]
+    schema = "qid bigint, x0 double, x1 double, y0 double, y1 double"
+    frames = spark.createDataFrame(b, schema), spark.createDataFrame(a, schema)
+    want = {q[0]: sum(r[1] <= q[2] and q[1] <= r[2] and r[3] <= q[4] and q[3] <= r[4] for r in b) for q in a}
+    for cell in (None, (0.5, 0.5)):
+        assert {r[0]: r[1] for r in count_2d(*frames, cell=cell).collect()} == want
+
+
 def test_stream_enrichment(spark, tmp_path):
     from spanmill.streaming.enrich import enrich
 
     spark.createDataFrame([(1, 4), (50, 60)], "s bigint, e bigint").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("s bigint, e bigint").parquet(str(tmp_path / "in"))
-    q = enrich(stream, frame(spark, [(3, 9, 1), (55, 56, 2)]), "s", "e").writeStream.format("memory").queryName("enriched").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = enrich(stream, frame(spark, [(3, 9, 1), (55, 56, 2), (0, 10**9, 3)]), "s", "e", width=4).writeStream.format("memory").queryName("enriched").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
-    assert {(r["s"], r["b_value"]) for r in spark.table("enriched").collect()} == {(1, 1), (50, 2)}
+    assert {(r["s"], r["b_value"]) for r in spark.table("enriched").collect()} == {(1, 1), (50, 2), (1, 3), (50, 3)}

@@ -20,7 +20,8 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    for table in ("lineitem", "nation", "events"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.execute(ORACLE[name]).fetchdf()
     got = QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
