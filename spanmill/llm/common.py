@@ -1,32 +1,44 @@
-"""Shared pieces: the workspace on shared storage, and connected components."""
+"""Shared pieces: tables on shared storage, checked broadcasts, positions in texts, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_SET_HERE = None
+from spanmill.sources import workspace
+from spanmill.sources.workspace import fresh_path
+
 #: Rows of a few numbers each that one task writes, where their count is known.
 ROWS_PER_FILE = 500_000
+#: Rows of a few numbers up to which a table is broadcast; bytes of larger things.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+
+_scratch: list[Scratch] = []
+
 
+class Scratch:
+    """Tables that ``cut`` writes inside are deleted at the end, but for those that ``keep`` names; these go to the scratch around it."""
 
-def workspace(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    global _SET_HERE
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if _SET_HERE is None:
-        _SET_HERE = "file://" + tempfile.mkdtemp(prefix="spanmill-")
-    return _SET_HERE
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
 
+    def __enter__(self) -> Scratch:
+        _scratch.append(self)
+        return self
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._at)
+        return table
+
+    def __exit__(self, *_) -> None:
+        _scratch.pop()
+        for path in self.paths:
+            if path not in self.kept:
+                workspace.remove(self.spark, path)
+            elif _scratch:
+                _scratch[-1].paths.append(path)
 
 
 def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
@@ -36,31 +48,91 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _scratch:
+        _scratch[-1].paths.append(path)
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    out = spark.read.schema(workspace.nullable(df.schema)).parquet(path)
+    out._at = path
+    return out
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast where its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def counted(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` as a table, and its rows, counted while writing; ``rows``: how many there are at most."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name, rows)
+    return out, seen.get.get("n", 0)
+
+
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20):
+    """Arrow batches hold at most ``rows`` rows and about ``size`` bytes (for wide rows); for eager work only."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def sealed(df: DataFrame, columns: list[str], *also: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``columns`` under positional names that clash with nothing, the columns ``also`` after them; and both lists of names."""
+    names = [f"c{i}_" for i in range(len(columns))]
+    more = [f"a{i}_" for i in range(len(also))]
+    picked = [df[c] if df.columns.count(c) == 1 else F.col(c) for c in (*columns, *also)]
+    return df.select([c.alias(n) for c, n in zip(picked, names + more, strict=True)]), names, more
+
+
+def _scanned(values: Column, join) -> Column:
+    rounds = F.when(F.size(values) > 1, F.ceil(F.log2(F.size(values).cast("double"))).cast("int")).otherwise(F.lit(0))
+
+    def step(acc: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2.0), k).cast("int")
+        # an array filled up with NULLs in front: zip_with pads the shorter one at its end, so the order is turned twice
+        earlier = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - by, F.lit(0)))
+        return F.reverse(F.zip_with(F.reverse(acc), F.reverse(earlier), join))
+
+    return F.when(rounds > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(rounds - 1, F.lit(0))), values, step)).otherwise(values)
+
+
+def running_total(numbers: Column) -> Column:
+    """Inclusive running totals of an array of BIGINT, by doubling: log n passes over the array."""
+    return _scanned(numbers, lambda x, y: x + F.coalesce(y, F.lit(0).cast("bigint")))
+
+
+def running_max(values: Column) -> Column:
+    """Inclusive running maxima of an array, NULLs left out, by doubling."""
+    return _scanned(values, lambda x, y: F.greatest(x, y))
+
+
+def running_min(values: Column) -> Column:
+    return _scanned(values, lambda x, y: F.least(x, y))
 
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+#: Characters of the blocks that a text is read in.
+BLOCK = 1024
 
 
-def small_arrow_batches(spark: SparkSession, rows: int):
-    """Context in which Arrow batches hold at most ``rows`` rows (for wide rows); for eager work only."""
-    import contextlib
+def blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    @contextlib.contextmanager
-    def held():
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = spark.conf.get(key)
-        spark.conf.set(key, str(rows))
-        try:
-            yield
-        finally:
-            spark.conf.set(key, before)
 
-    return held()
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of the text that ``blocks`` holds, without counting from its beginning."""
+    i, j = (start / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, i), (start % BLOCK).cast("int") + 1, F.least(end - start, F.lit(BLOCK)).cast("int"))
+    tail = F.substring(F.get(blocks, j), F.lit(1), ((end - 1) % BLOCK).cast("int") + 1)
+    return F.when(end <= start, F.lit("")).when(i == j, head).otherwise(F.concat(head, F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), tail))
 
 
 def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -78,9 +150,14 @@ def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        last = getattr(e, "_at", None)
         e, after = _marked_cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
+        if last:  # the round before
+            workspace.remove(edges.sparkSession, last)
         if after == before or not after[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._at = e._at
+            return out
         before, rows = after, after[0]
 
 

@@ -21,8 +21,14 @@
 With 50 bands of 5 rows a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75**5)**50 = 1.3e-6, less above it.
 
-Rows of one doc_id are one document. A NULL text is empty; empty sets link with
-nothing; a NULL doc_id links with nothing and is kept.
+Sets travel in Arrow batches of bounded bytes. A text with many candidates (the first
+of a large bucket, a pivot) is not copied to each of them: such sets are broadcast while
+they are at most ``BROADCAST_BYTES``, and joined beyond that.
+
+Rows of one doc_id are one document; of several texts under it, each has its own row of
+the result. A NULL text is empty; empty sets link with nothing; a NULL doc_id links with
+nothing and is kept. Texts of any length are taken whole. Equal texts are one class, so
+ties and repeated rows change nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import connected_components, cut
+from spanmill.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, connected_components, counted, cut, small, small_arrow_batches
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 50, 5, 4
@@ -46,8 +52,8 @@ WHOLE, APART = 100 + PERCENT, 100 - PERCENT
 SMALL_BUCKET = 8
 #: Cells that hold the frequencies of shingles (8 bytes each).
 CELLS = 2**18
-#: Candidate ids up to which they are broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Candidates from which on a text's set goes to the pairs, and not the pairs to it.
+HOT_PAIRS = 32
 
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -179,10 +185,25 @@ def linked(a: bytes, b: bytes) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _confirmed(batches):
-    for batch in batches:
-        keep = [linked(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+def _confirmed(hot):
+    """Keeps the linked pairs; a set that did not come with the row is in ``hot``."""
+
+    def f(batches):
+        known = hot.value if hot is not None else {}
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("u", "v", "a", "b")]
+            keep = [linked(a if a is not None else known[u], b if b is not None else known[v]) for u, v, a, b in zip(*cols, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    return f
+
+
+def _held(sets: DataFrame, wanted: DataFrame):
+    """The sets of the few nodes ``wanted`` (node; a table) as a broadcast, or None where they are more than ``BROADCAST_BYTES``."""
+    got = sets.join(F.broadcast(wanted), "node")
+    if (got.agg(F.sum(F.octet_length("s") + 64)).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    return sets.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in got.select("node", "s").collect()})
 
 
 def _frequencies(batches):
@@ -213,11 +234,19 @@ def prefix(s: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, n
     return order[shared], left[shared]
 
 
-def _differences(batches):
-    for batch in batches:
-        d = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True) for s, p in zip(batch.column("s").to_pylist(), batch.column("p").to_pylist(), strict=True)]
-        slacks = [slack(len(x), len(s) // 8) for x, s in zip(d, batch.column("s").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("blob", "node", "comp", "minor")), pa.array(slacks, pa.int64()), pa.array([x.tobytes() for x in d], pa.binary())], ["blob", "node", "comp", "minor", "slack", "s"])
+def _differences(hot):
+    """(blob, node, comp, minor, slack, s): each set less its neighbourhood's pivot, which is in ``hot`` or comes with the row."""
+
+    def f(batches):
+        known = hot.value if hot is not None else {}
+        for batch in batches:
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column("s").to_pylist()]
+            pivots = [known[n] if p is None else p for n, p in zip(batch.column("pivot").to_pylist(), batch.column("p").to_pylist(), strict=True)]
+            d = [np.setxor1d(s, np.frombuffer(p, np.uint64), assume_unique=True) for s, p in zip(sets, pivots, strict=True)]
+            slacks = [slack(len(x), len(s)) for x, s in zip(d, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("blob", "node", "comp", "minor")), pa.array(slacks, pa.int64()), pa.array([x.tobytes() for x in d], pa.binary())], ["blob", "node", "comp", "minor", "slack", "s"])
+
+    return f
 
 
 def _prefixes(counts):
@@ -246,20 +275,27 @@ def resembling(live: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     Only pairs of different components are made, so the largest component of a
     neighbourhood, which may be nearly all of it, is never joined with itself.
     """
-    spread = live.join(live.groupBy("bucket").agg(F.min("node").alias("v")), "bucket").select(F.col("node").alias("u"), "v").distinct()
+    spark = live.sparkSession
+    firsts, n = counted(live.groupBy("bucket").agg(F.min("node").alias("v")), "firsts", rows)
+    spread = live.join(small(firsts, n), "bucket").select(F.col("node").alias("u"), "v").distinct()
     blobs = connected_components(cut(spread, "spread", rows), rows)
     nodes = live.groupBy("node", "comp").agg(F.count("*").alias("n")).join(blobs, "node", "left")
     nodes = cut(nodes.select("node", "comp", "n", F.coalesce("component", "node").alias("blob")), "resembling", rows)
     pivots = nodes.groupBy("blob").agg(F.max_by("node", F.struct("n", "node")).alias("pivot"))
     major = nodes.groupBy("blob", "comp").agg(F.count("*").alias("k")).groupBy("blob").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    pivots = pivots.join(major, "blob").join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot").select("blob", "major", "p")
-    whole = nodes.join(pivots, "blob").join(sets, "node").select("blob", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "s", "p")
-    apart = cut(whole.mapInArrow(_differences, "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, s binary"), "differences")
+    pivots, n = counted(pivots.join(major, "blob"), "pivots", rows)
+    hot = _held(sets, pivots.select(F.col("pivot").alias("node"))) if n <= BROADCAST_ROWS else None
+    placed = nodes.join(small(pivots, n), "blob").join(sets, "node").select("blob", "node", "comp", (F.col("comp") != F.col("major")).alias("minor"), "s", "pivot")
+    whole = placed.withColumn("p", F.lit(None).cast("binary")) if hot is not None else placed.join(sets.select(F.col("node").alias("pivot"), F.col("s").alias("p")), "pivot")
+    schema = "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, s binary"
+    with small_arrow_batches(spark):
+        apart = cut(whole.select("blob", "node", "comp", "minor", "s", "pivot", "p").mapInArrow(_differences(hot), schema), "differences")
     nearest = apart.groupBy("blob").agg(F.min("slack").alias("low"), F.min_by(F.struct("node", "comp"), F.struct("slack", "node")).alias("at"))
-    apart = apart.join(cut(nearest, "nearest"), "blob")
+    apart = apart.join(small(*counted(nearest, "nearest", rows)), "blob")
     near = apart.where("slack + low <= 0 AND comp <> at.comp").select(F.least("node", "at.node").alias("u"), F.greatest("node", "at.node").alias("v"))
-    held = apart.mapInArrow(_prefixes(_counted(apart)), "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, shingle bigint, left bigint")
-    held = cut(held, "prefixes")
+    with small_arrow_batches(spark):
+        held = apart.mapInArrow(_prefixes(_counted(apart)), "blob bigint, node bigint, comp bigint, minor boolean, slack bigint, shingle bigint, left bigint")
+        held = cut(held, "prefixes")
     one, two = held.where("minor").alias("x"), held.alias("y")
     enough = F.expr(f"x.comp <> y.comp AND (NOT y.minor OR x.node < y.node) AND {2 * WHOLE} * least(x.left, y.left) >= x.slack + y.slack")
     met = one.join(two, (F.col("x.blob") == F.col("y.blob")) & (F.col("x.shingle") == F.col("y.shingle")) & enough)
@@ -275,10 +311,8 @@ def _pairs_of_small(members: DataFrame) -> DataFrame:
 def _joined(cand: DataFrame, sets: DataFrame, sigs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
     """(node, component) after the candidates (u, v) that are linked have been joined."""
     side = lambda p: sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
-    cand = cut(cand.distinct().join(side("u"), "u").join(side("v"), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
-    whole = cand.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    new = cut(whole.mapInArrow(_confirmed, "u bigint, v bigint"), "links")
-    n = new.count()
+    cand, n = counted(cand.distinct().join(side("u"), "u").join(side("v"), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
+    new, n = _linked(cand, n, sets)
     if not n:
         return labels
     if labels is None:
@@ -286,38 +320,67 @@ def _joined(cand: DataFrame, sets: DataFrame, sigs: DataFrame, labels: DataFrame
     return connected_components(new.unionByName(labels.toDF("u", "v")), n + labels.count())  # earlier links count as their components' stars
 
 
+def _linked(cand: DataFrame, rows: int, sets: DataFrame) -> tuple[DataFrame, int]:
+    """Those of the candidates (u, v) that are linked, by their full sets, as a table; and their number."""
+    schema, binary = "u bigint, v bigint", F.lit(None).cast("binary")
+    left, right = (sets.select(F.col("node").alias(n), F.col("s").alias(c)) for n, c in (("u", "a"), ("v", "b")))
+    often = cand.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("node")
+    often, n = counted(often, "often", rows)
+    hot = _held(sets, often) if 0 < n <= BROADCAST_ROWS else None
+    with small_arrow_batches(sets.sparkSession):
+        if hot is None:
+            return counted(cand.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(None), schema), "links")
+        for c in "uv":
+            cand = cand.join(F.broadcast(often.select(F.col("node").alias(c), F.lit(True).alias(f"h{c}"))), c, "left")
+        cand = cand.select("u", "v", F.coalesce("hu", F.lit(False)).alias("hu"), F.coalesce("hv", F.lit(False)).alias("hv"))
+        # only the side with few candidates is joined
+        one = cand.where("hu <> hv").withColumn("node", F.when(F.col("hu"), F.col("v")).otherwise(F.col("u"))).join(sets, "node")
+        one = one.select("u", "v", F.when(~F.col("hu"), F.col("s")).alias("a"), F.when(F.col("hu"), F.col("s")).alias("b"))
+        both = cand.where("hu AND hv").select("u", "v", binary.alias("a"), binary.alias("b"))
+        none = cand.where("NOT hu AND NOT hv").join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        return counted(one.unionByName(both).unionByName(none).mapInArrow(_confirmed(hot), schema), "links")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, component) of every class that is linked with another; None where there is none."""
     members = classes.select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1 AND lo < hi").select("bucket", "n")
-    members = cut(members.join(shared, "bucket"), "members")
-    left = members.count()
+    members, left = counted(members.join(shared, "bucket"), "members")
     if not left:
         return None
-    ids = cut(members.select(F.col("node").alias("doc_id")).distinct(), "ids", left)
-    n = ids.count()
+    spark = docs.sparkSession
+    ids, n = counted(members.select(F.col("node").alias("doc_id")).distinct(), "ids", left)
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id IS NOT NULL")
-    sets = cut(text.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary").distinct(), "sets")
+    with small_arrow_batches(spark, 10_000, 8 << 20):
+        sets, found = counted(text.join(small(ids, n), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, s binary"), "sets")
     sigs = cut(classes.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("rep", "nset", "sig"), "sigs", n)
+    if found > n:  # repeated ids
+        sets = cut(sets.distinct(), "sets")
     big = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "node")
-    firsts = big.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rnode"))
-    starred = big.join(firsts, "bucket").where("node <> rnode").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
+    firsts, large = counted(big.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("rnode")), "firsts", left)
+    starred = big.join(small(firsts, large), "bucket").where("node <> rnode").select(F.least("node", "rnode").alias("u"), F.greatest("node", "rnode").alias("v"))
     labels = _joined(_pairs_of_small(members.where(F.col("n") <= SMALL_BUCKET)).unionByName(starred), sets, sigs, None)
     live = big.withColumn("comp", F.col("node")) if labels is None else big.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
     live = cut(live, "live", left)
-    live = cut(live.join(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "bucket", "left_semi"), "unresolved", left)
+    unresolved, n = counted(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "unresolved", large)
+    live = cut(live.join(small(unresolved, n), "bucket", "left_semi"), "unresolved", left)
     left = live.count()
     return _joined(resembling(live, sets, left), sets, sigs, labels) if left else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = cut(text.mapInArrow(_sign, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sig binary"), "signatures")
+    with small_arrow_batches(docs.sparkSession, 10_000, 8 << 20):
+        rows = cut(text.mapInArrow(_sign, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sig binary"), "signatures")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = cut(reps, "classes")
     classes = rows.join(reps, "digest").where("doc_id = rep").select("rep", F.col("n").alias("nset"), "bands", "sig").dropDuplicates(["rep", "sig"])
-    labels = links(docs, classes)
+    with Scratch(docs.sparkSession) as scratch:
+        labels = links(docs, classes)
+        if labels is not None:
+            scratch.keep(labels)
     if labels is not None:
         reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     else:
