@@ -7,9 +7,12 @@ built by doubling from word hashes; positions whose hash is in the set are kept
 their words, and those words are compared with the items' windows, so a collision
 of hashes hits nothing.
 
-The set goes to the tasks with the plan while it has at most ``MAX_SET`` hashes; a
-larger benchmark is joined instead. NULL texts have no words and no hits; a NULL item
-text has no windows. Repeated rows are scored each on its own.
+The set goes to the tasks with the plan while it has at most ``MAX_SET`` windows; a
+larger benchmark is joined instead, to the same result. The items of a window stay a
+table: the driver sees windows only. NULL texts have no words and no hits; a NULL item
+text has no windows. Repeated rows are scored each on its own, repeated items count
+once, and texts may be of any length. Columns may have any names; without documents the
+result is empty, without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import BROADCAST_ROWS, cut, sealed
+
 WINDOW = 10
 MAX_SET = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,7 +96,7 @@ def _inside(size: int, hashes: list[int]) -> Column:
 
 def _named(positions: Column, size: int) -> Column:
     """position (from 1), size and words of the windows at ``positions`` (from 0)."""
-    return F.transform(positions, lambda i: F.struct((i + 1).alias("position"), F.lit(size).alias("size"), F.array_join(F.slice("_w", i + 1, size), " ").alias("window")))
+    return F.transform(positions, lambda i: F.struct((i + 1).alias("position"), F.lit(size).alias("size"), F.concat_ws(" ", *[F.get(F.col("_w"), i + k) for k in range(size)]).alias("window")))
 
 
 def _among(texts: list[str]):
@@ -99,45 +104,52 @@ def _among(texts: list[str]):
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: tuple[str, ...] = ("doc_id",), max_set: int = MAX_SET) -> DataFrame:
-    """``columns``, _row, n_words and, per occurrence of a window, position (from 1), size and item_ids; one row of NULLs without any."""
-    wanted = benchmark_windows(items, window)
+    """``columns`` as c0_, c1_, ..., _row, n_words and, per occurrence of a window, position (from 1), size and item_ids; one row of NULLs without any."""
+    wanted = cut(benchmark_windows(items, window), "windows")
     spark = docs.sparkSession
-    known = wanted.limit(max_set + 1).collect()
-    scan = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), words("text").alias("_w"))
+    known = wanted.select("size", "window").limit(max_set + 1).collect()
+    df, names, (body,) = sealed(docs, list(columns), "text")
+    scan = df.select(*names, F.monotonically_increasing_id().alias("_row"), words(body).alias("_w"))
     scan = scan.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
-    found = []
     if len(known) <= max_set:
         sizes = sorted({r["size"] for r in known})
         scan = _windows(scan, "_x", sizes)
-        local = spark.createDataFrame([(r["size"], r["window"], list(r["item_ids"])) for r in known], f"size int, window string, item_ids array<{items.schema['item_id'].dataType.simpleString()}>")
-        if known:
-            hashed = local.withColumn("h", F.coalesce(*[F.when(F.col("size") == m, _hash(F.split("window", " "), m)) for m in sizes]))
-            by_size: dict[int, list[int]] = {}
-            for r in hashed.select("size", "h").distinct().collect():
-                by_size.setdefault(r[0], []).append(r[1])
-        for m in sizes:
-            found.append(_named(_inside(m, by_size[m]), m))
-        wanted = F.broadcast(local)  # at most ``max_set`` rows
+        by_size = _hashes(spark, known, sizes)
+        found = [_named(_inside(m, by_size[m]), m) for m in sizes]
+        ids = wanted.agg(F.sum(F.size("item_ids"))).first()[0] or 0
+        wanted = F.broadcast(wanted) if ids <= BROADCAST_ROWS else wanted
         every = F.concat(*found) if found else F.array().cast("array<struct<position:int,size:int,window:string>>")
-        scan = scan.withColumn("_found", every)
-        flat = scan.select(*columns, "_row", F.size("_w").cast("bigint").alias("n_words"), F.explode_outer("_found").alias("_f"))
-        flat = flat.select(*columns, "_row", "n_words", F.col("_f.position").alias("position"), F.col("_f.size").alias("size"), F.col("_f.window").alias("window"))
-        return flat.join(wanted, ["size", "window"], "left").select(*columns, "_row", "n_words", F.when(F.col("item_ids").isNotNull(), F.col("position")).alias("position"), "size", "item_ids")
+        flat = scan.withColumn("_found", every).select(*names, "_row", F.size("_w").cast("bigint").alias("n_words"), F.explode_outer("_found").alias("_f"))
+        flat = flat.select(*names, "_row", "n_words", F.col("_f.position").alias("position"), F.col("_f.size").alias("size"), F.col("_f.window").alias("window"))
+        return flat.join(wanted, ["size", "window"], "left").select(*names, "_row", "n_words", F.when(F.col("item_ids").isNotNull(), F.col("position")).alias("position"), "size", "item_ids")
     # a benchmark that no task should hold: every window meets it in a join
     sizes = [r[0] for r in wanted.select("size").distinct().collect()]
     none = F.array().cast("array<struct<position:int,size:int,window:string>>")
     windows = F.flatten(F.array(*[F.when(F.size("_w") >= m, _named(F.sequence(F.lit(0), F.size("_w") - m), m)).otherwise(none) for m in sizes]))
-    base = scan.select(*columns, "_row", F.size("_w").cast("bigint").alias("n_words"), F.explode_outer(windows).alias("_f"))
-    base = base.select(*columns, "_row", "n_words", F.col("_f.position").alias("position"), F.col("_f.size").alias("size"), F.col("_f.window").alias("window"))
-    return base.join(wanted, ["size", "window"], "left").select(*columns, "_row", "n_words", F.when(F.col("item_ids").isNotNull(), F.col("position")).alias("position"), "size", "item_ids")
+    base = scan.select(*names, "_row", F.size("_w").cast("bigint").alias("n_words"), F.explode_outer(windows).alias("_f"))
+    base = base.select(*names, "_row", "n_words", F.col("_f.position").alias("position"), F.col("_f.size").alias("size"), F.col("_f.window").alias("window"))
+    return base.join(wanted, ["size", "window"], "left").select(*names, "_row", "n_words", F.when(F.col("item_ids").isNotNull(), F.col("position")).alias("position"), "size", "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, columns: tuple[str, ...] = ("doc_id",), max_set: int = MAX_SET) -> DataFrame:
     """``columns``, n_words, n_hit, item_ids (sorted), hit_positions for every row of ``docs``."""
     found = hits(docs, items, window, columns, max_set)
+    names = found.columns[: len(columns)]
     reach = F.when(F.col("position").isNotNull(), F.sequence("position", F.col("position") + F.col("size") - 1))
-    per = found.groupBy("_row").agg(*[F.first(c).alias(c) for c in columns], F.first("n_words").alias("n_words"), F.collect_list(reach).alias("_p"), F.collect_set("item_ids").alias("_i"))
-    return per.select(*columns, "n_words", F.array_sort(F.array_distinct(F.flatten("_p"))).alias("hit_positions"), F.array_sort(F.array_distinct(F.flatten("_i"))).alias("item_ids")).withColumn("n_hit", F.size("hit_positions").cast("bigint"))
+    per = found.groupBy("_row").agg(*[F.first(c).alias(c) for c in names], F.first("n_words").alias("_n"), F.collect_list(reach).alias("_p"), F.collect_set("item_ids").alias("_i"))
+    hit = F.array_sort(F.array_distinct(F.flatten("_p")))
+    out = per.select(*names, "_n", hit.alias("_hit"), F.array_sort(F.array_distinct(F.flatten("_i"))).alias("_items"))
+    return out.select(*names, "_n", "_hit", "_items", F.size("_hit").cast("bigint")).toDF(*columns, "n_words", "hit_positions", "item_ids", "n_hit")
+
+
+def _hashes(spark, known: list, sizes: list[int]) -> dict[int, list[int]]:
+    """size -> the distinct hashes of the windows ``known`` (size, window)."""
+    out: dict[int, list[int]] = {m: [] for m in sizes}
+    if known:
+        local = spark.createDataFrame([(r["size"], r["window"]) for r in known], "size int, window string")
+        for m, h in local.select("size", F.coalesce(*[F.when(F.col("size") == m, _hash(F.split("window", " "), m)) for m in sizes]).alias("h")).distinct().collect():
+            out[m].append(h)
+    return out
 
 
 def flagged(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -159,11 +171,8 @@ def flagged(docs: DataFrame, items: DataFrame, columns: list[str], text: str = "
     scan = docs.select(*columns, words(text).alias("_w")).withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w)))
     scan = _windows(scan, "_x", sizes)
     hit = F.lit(False)
-    if known:
-        local = spark.createDataFrame([(r["size"], r["window"]) for r in known], "size int, window string")
-        hashed = local.select("size", F.coalesce(*[F.when(F.col("size") == m, _hash(F.split("window", " "), m)) for m in sizes]).alias("h")).distinct().collect()
-        for m in sizes:
-            inside = _inside(m, [r[1] for r in hashed if r[0] == m])
-            texts = [r["window"] for r in known if r["size"] == m]
-            hit = hit | F.exists(_named(inside, m), _among(texts))
+    by_size = _hashes(spark, known, sizes)
+    for m in sizes:
+        texts = [r["window"] for r in known if r["size"] == m]
+        hit = hit | F.exists(_named(_inside(m, by_size[m]), m), _among(texts))
     return scan.select(*columns, hit.alias("contaminated"), F.monotonically_increasing_id().alias("_at"))

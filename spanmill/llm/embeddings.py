@@ -5,18 +5,22 @@
    coordinates hold most of a product.
 3. Rows are laid out by cells of the first three coordinates, as wide as two linked
    vectors can lie apart, and cut into tiles. Only tiles of the same or adjacent cells
-   whose bounding boxes come near enough meet; no cell is held by one task.
-4. In a pair of tiles, products over the leading dimensions are accumulated first. What
-   the remaining ones can add is at most the product of the suffix norms, so a pair
-   stops as soon as that cannot reach the threshold; the rest is finished on the
-   original vectors in double precision. Tiles so narrow and near that all their pairs
-   must link skip the comparison.
-5. A pair of tiles gives counts per vector and a spanning forest of its links, not the
+   whose bounding boxes come near enough meet, which their descriptions tell before any
+   vector moves; no cell is held by one task.
+4. Neighbouring tiles form groups. A task compares two groups, so a tile is sent once
+   for each group that it meets, in the numbers that it was given in (not once for each tile).
+5. In a pair of tiles, products over the leading dimensions are accumulated first, as
+   many as the spectrum says can tell pairs apart. What the remaining ones can add is at
+   most the product of the suffix norms, so a pair stops as soon as that cannot reach the
+   threshold; the rest is finished on the original vectors in double precision. Tiles so
+   narrow and near that all their pairs must link skip the comparison.
+6. A pair of groups gives counts per vector and spanning forests of its links, not the
    links themselves.
 
 NULL, empty and zero vectors and those with NULL or non-finite components link with
 nothing, nor do vectors of different lengths. Rows of one vec_id with the same vector
-count as several vectors; a NULL vec_id links with nothing.
+count as several vectors, as do rows of one vec_id with different ones; a NULL vec_id
+links with nothing and is kept. Vectors may have any length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import connected_components, cut, small_arrow_batches
+from spanmill.llm.common import Scratch, connected_components, counted, cut, small, small_arrow_batches
 
 THRESHOLD = 0.9
-TILE, TASK_ROWS = 1024, 16_384
-LEADING = (8, 24)
+TILE, GROUP_ROWS = 1024, 65_536
+#: Numbers of leading dimensions after which pairs are dropped.
+STEPS = (4, 8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Share of a tile pair up to which what is left is finished pair by pair.
+SPARSE = 0.02
 #: Above what rounding can do to a product of unit vectors.
 SLACK = 1e-6
 
@@ -51,85 +58,115 @@ def _doubles(column) -> list:
     return out
 
 
-def _prepared(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4000):
-            part = batch.slice(i, 4000)
-            digests, vectors = [], []
-            for v in _doubles(part.column("embedding").combine_chunks() if isinstance(part.column("embedding"), pa.ChunkedArray) else part.column("embedding")):
-                ok = v is not None and len(v) and np.isfinite(v).all()
-                top = np.abs(v).max() if ok else 0
-                if not ok or top == 0:
-                    digests.append(None)
-                    vectors.append(None)
-                    continue
-                v = v + 0.0  # -0.0 is 0.0
-                digests.append(xxhash.xxh3_128_digest(v.tobytes()))
-                if not 1e-100 < top < 1e100:
-                    v = v / top  # so that the norm is finite
-                vectors.append((v / math.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "digest", "unit"])
-
-
-def _moments(batches):
-    """Per length: rows, sum and sum of outer products of one partition."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        by: dict[int, list] = {}
-        for u in batch.column("unit").to_pylist():
-            by.setdefault(len(u) // 8, []).append(u)
-        for d, us in by.items():
-            x = np.frombuffer(b"".join(us), np.float64).reshape(-1, d)
-            n, s, o = held.get(d, (0, 0.0, 0.0))
-            held[d] = (n + len(x), s + x.sum(0), o + x.T @ x)
+def _prepared(kind: str):
+    """vec_id, digest, the components as ``kind`` and the norm; NULLs for what links with nothing."""
+
+    def f(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4000):
+                part = batch.slice(i, 4000)
+                digests, raws, norms = [], [], []
+                for v in _doubles(part.column("embedding").combine_chunks() if isinstance(part.column("embedding"), pa.ChunkedArray) else part.column("embedding")):
+                    ok = v is not None and len(v) and np.isfinite(v).all()
+                    top = np.abs(v).max() if ok else 0
+                    if not ok or top == 0:
+                        for x in (digests, raws, norms):
+                            x.append(None)
+                        continue
+                    v = v + 0.0  # -0.0 is 0.0
+                    digests.append(xxhash.xxh3_128_digest(v.tobytes()))
+                    if kind == "f8" and not 1e-100 < top < 1e100:
+                        v = v / top  # so that the norm is finite
+                    raws.append(v.astype(kind).tobytes())
+                    norms.append(math.sqrt(v @ v))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(digests, pa.binary()), pa.array(raws, pa.binary()), pa.array(norms, pa.float64())], ["vec_id", "digest", "raw", "norm"])
+
+    return f
+
+
+def _units(raw: bytes, norms: np.ndarray, kind: str) -> np.ndarray:
+    """Unit rows, in double precision."""
+    return np.frombuffer(raw, kind).reshape(len(norms), -1).astype(np.float64) / norms[:, None]
+
+
+def _by_length(batch, kind: str):
+    """(length, row numbers, unit rows) of a batch."""
+    raws, norms = batch.column("raw").to_pylist(), batch.column("norm").to_numpy()
+    by: dict[int, list] = {}
+    for i, r in enumerate(raws):
+        by.setdefault(len(r) // np.dtype(kind).itemsize, []).append(i)
+    for d, at in by.items():
+        yield d, at, _units(b"".join(raws[i] for i in at), norms[at], kind)
+
+
+def _summary(held: dict[int, list]):
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tobytes() for h in held.values()], pa.binary()), pa.array([h[2].tobytes() for h in held.values()], pa.binary())], ["d", "n", "s", "o"])
 
 
+def _moments(kind: str):
+    """Per length: rows, sum and sum of outer products of one partition."""
+
+    def f(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for d, _, x in _by_length(batch, kind):
+                n, s, o = held.get(d, (0, 0.0, 0.0))
+                held[d] = (n + len(x), s + x.sum(0), o + x.T @ x)
+        yield from _summary(held)
+
+    return f
+
+
 def _summed(batches):
     held: dict[int, list] = {}
     for batch in batches:
         for d, n, s, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             m, t, p = held.get(d, (0, 0.0, 0.0))
             held[d] = (m + n, t + np.frombuffer(s), p + np.frombuffer(o))
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tobytes() for h in held.values()], pa.binary()), pa.array([h[2].tobytes() for h in held.values()], pa.binary())], ["d", "n", "s", "o"])
+    yield from _summary(held)
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per length the axes, in columns, by falling variance; the driver gets one matrix per length."""
+def principal_axes(vectors: DataFrame, kind: str) -> dict[int, tuple[np.ndarray, list[int]]]:
+    """Per length the axes, in columns, by falling variance, and the steps at which pairs are dropped; the driver gets one matrix per length."""
     schema = "d int, n bigint, s binary, o binary"
-    parts = vectors.select("unit").mapInArrow(_moments, schema).repartition(16, "d", F.spark_partition_id() % 16).mapInArrow(_summed, schema)
+    parts = vectors.select("raw", "norm").mapInArrow(_moments(kind), schema).repartition(16, "d", F.spark_partition_id() % 16).mapInArrow(_summed, schema)
     axes = {}
     total: dict[int, tuple] = {}
     for d, n, s, o in parts.collect():  # 16 matrices per length at most
         m, t, p = total.get(d, (0, 0.0, 0.0))
         total[d] = (m + n, t + np.frombuffer(s), p + np.frombuffer(o).reshape(d, d))
     for d, (n, s, o) in total.items():
-        values, v = np.linalg.eigh(o / n - np.outer(s / n, s / n))
-        axes[d] = v[:, np.argsort(-values, kind="stable")]
+        _, v = np.linalg.eigh(o / n - np.outer(s / n, s / n))
+        v = v[:, ::-1]
+        axes[d] = (v, leading(np.einsum("ij,ik,kj->j", v, o / n, v)))
     return axes
 
 
-def _cells(axes: dict[int, np.ndarray], width: float):
+def leading(energy: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
+    """Steps from the first at which a usual pair falls short: its product so far, with four deviations, and the suffix energy stay under the threshold."""
+    steps = [k for k in STEPS if k < len(energy)]
+    enough = [k for k in steps if 4 * math.sqrt((energy[:k] ** 2).sum()) + max(0.0, 1 - energy[:k].sum()) < threshold]
+    return [k for k in steps if k >= enough[0]] if enough else steps[-1:]
+
+
+def _cells(axes: dict, width: float, kind: str):
     def f(batches):
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            lead = np.zeros((len(units), 4))
-            for d in {len(u) // 8 for u in units}:
-                at = [i for i, u in enumerate(units) if len(u) // 8 == d]
-                y = np.frombuffer(b"".join(units[i] for i in at)).reshape(-1, d) @ axes[d][:, :4]
-                lead[at, : y.shape[1]] = y
+            lead, length = np.zeros((batch.num_rows, 4)), np.zeros(batch.num_rows, np.int32)
+            for d, at, x in _by_length(batch, kind):
+                y = x @ axes[d][0][:, :4]
+                lead[at, : y.shape[1]], length[at] = y, d
             c = np.floor(lead[:, :3] / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(u) // 8 for u in units], pa.int32()), *(pa.array(c[:, k]) for k in range(3)), pa.array(lead[:, 3])], [*batch.schema.names, "d", "c0", "c1", "c2", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length), *(pa.array(c[:, k]) for k in range(3)), pa.array(lead[:, 3])], [*batch.schema.names, "d", "c0", "c1", "c2", "y"])
 
     return f
 
 
-_TILE_FIELDS = "tile bigint, d int, c0 int, c1 int, c2 int, rows int, ids binary, counts binary, units binary, lo array<double>, hi array<double>, center array<double>, radius double"
+_TILE_FIELDS = "tile bigint, d int, c0 int, c1 int, c2 int, rows int, ids binary, counts binary, raw binary, norms binary, lo array<double>, hi array<double>, center array<double>, radius double"
 
 
-def _tiles(axes: dict[int, np.ndarray]):
+def _tiles(axes: dict, kind: str):
     def f(batches):
         from pyspark import TaskContext
 
@@ -138,20 +175,21 @@ def _tiles(axes: dict[int, np.ndarray]):
 
         def tile(rows):
             nonlocal serial
-            d, c0, c1, c2 = rows[0][3:]
-            u = np.frombuffer(b"".join(r[2] for r in rows)).reshape(-1, d)
-            y = u @ axes[d]
+            d, c0, c1, c2 = rows[0][4:]
+            raw, norms = b"".join(r[2] for r in rows), np.array([r[3] for r in rows])
+            u = _units(raw, norms, kind)
+            y = u @ axes[d][0]
             center = u.mean(0)
             center = center / max(np.linalg.norm(center), 1e-300)
             radius = float(np.arccos(np.clip((u @ center).min(), -1, 1)))
             serial += 1
-            values = [serial, d, c0, c1, c2, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), u.tobytes(), y.min(0).tolist(), y.max(0).tolist(), center.tolist(), radius]
-            kinds = [pa.int64(), *[pa.int32()] * 5, *[pa.binary()] * 3, *[pa.list_(pa.float64())] * 3, pa.float64()]
+            values = [serial, d, c0, c1, c2, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), raw, norms.tobytes(), y.min(0).tolist(), y.max(0).tolist(), center.tolist(), radius]
+            kinds = [pa.int64(), *[pa.int32()] * 5, *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 3, pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _TILE_FIELDS.split(", ")])
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "unit", "d", "c0", "c1", "c2")), strict=True):
-                if held and (len(held) == TILE or r[3:] != held[-1][3:]):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "raw", "norm", "d", "c0", "c1", "c2")), strict=True):
+                if held and (len(held) == TILE or r[4:] != held[-1][4:]):
                     yield tile(held)
                     held = []
                 held.append(r)
@@ -181,43 +219,40 @@ def _near(threshold: float):
     return f
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, steps: list[int], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs with a product of at least ``threshold``; with ``same`` those with i < j."""
     ya, yb = a @ axes, b @ axes
-    d = a.shape[1]
-    i = j = None
-    dense, done = False, 0
-    for k in [x for x in LEADING if x < d]:
-        sa, sb = np.sqrt(np.maximum(0, 1 - (ya[:, :k] ** 2).sum(1))), np.sqrt(np.maximum(0, 1 - (yb[:, :k] ** 2).sum(1)))
-        if i is None:
-            total = ya[:, :k] @ yb[:, :k].T
-            mask = total + np.multiply.outer(sa, sb) >= threshold - SLACK
+    total, done, i = np.zeros((len(a), len(b))), 0, None
+    for k in steps:
+        sa, sb = (np.sqrt(np.maximum(0, 1 - (y[:, :k] ** 2).sum(1))) for y in (ya, yb))
+        if i is None:  # all pairs at once, until few are left
+            total += ya[:, done:k] @ yb[:, done:k].T
+            mask = total >= threshold - SLACK - np.multiply.outer(sa, sb)
             if same:
                 mask &= np.tri(len(a), len(b), -1, bool).T
-            if mask.mean() > 0.05:
-                dense = True
-                break
-            i, j = np.nonzero(mask)
-            part = total[i, j]
+            if np.count_nonzero(mask) <= SPARSE * mask.size:
+                i, j = np.nonzero(mask)
+                part = total[i, j]
         else:
-            keep = []
-            for s in range(0, len(i), 65_536):
-                ii, jj = i[s : s + 65_536], j[s : s + 65_536]
-                part[s : s + 65_536] += np.einsum("ij,ij->i", ya[ii, done:k], yb[jj, done:k])
-                keep.append(part[s : s + 65_536] + sa[ii] * sb[jj] >= threshold - SLACK)
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+            part = part + _products(ya[:, done:k], yb[:, done:k], i, j)
+            keep = part >= threshold - SLACK - sa[i] * sb[j]
             i, j, part = i[keep], j[keep], part[keep]
         done = k
-    if i is None or dense:
-        mask = a @ b.T >= threshold
+    if i is None:
+        mask = total + ya[:, done:] @ yb[:, done:].T >= threshold - SLACK
         if same:
             mask &= np.tri(len(a), len(b), -1, bool).T
-        return np.nonzero(mask)
-    keep = [np.einsum("ij,ij->i", a[i[s : s + 65_536]], b[j[s : s + 65_536]]) >= threshold for s in range(0, len(i), 65_536)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        i, j = np.nonzero(mask)
+    keep = _products(a, b, i, j) >= threshold
     return i[keep], j[keep]
 
 
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the pairs (i, j), a bounded block at a time."""
+    block = max(1, 4_000_000 // max(1, a.shape[1]))
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[i[s : s + block]], b[j[s : s + block]]) for s in range(0, len(i), block))])
+
+
 def forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, its component's smallest id) that connect what the pairs (i, j) connect."""
     low = ids.copy()
@@ -232,58 +267,81 @@ def forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, n
     return ids[at], low[at]
 
 
-def _compared(axes: dict[int, np.ndarray], threshold: float):
-    def f(batches):
-        for batch in batches:
-            for a, b, every, d, ai, ac, au, bi, bc, bu in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "every", "d", "ai", "ac", "au", "bi", "bc", "bu")), strict=True):
-                ia, ib, ca, cb = (np.frombuffer(x, np.int64) for x in (ai, bi, ac, bc))
-                na, nb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
-                if every:
-                    na += cb.sum() - (ca if a == b else 0)
-                    nb += 0 if a == b else ca.sum()
-                    ids = ia if a == b else np.concatenate((ia, ib))
-                    u, v = ids[ids != ids.min()], np.full((ids != ids.min()).sum(), ids.min())
-                else:
-                    i, j = tile_links(np.frombuffer(au).reshape(-1, d), np.frombuffer(bu).reshape(-1, d), axes[d], threshold, a == b)
-                    na += np.bincount(i, cb[j], len(ia)).astype(np.int64)
-                    nb += np.bincount(j, ca[i], len(ib)).astype(np.int64)
-                    u, v = forest(i, j, ia) if a == b else forest(i, j + len(ia), np.concatenate((ia, ib)))
-                got = [(ia[na > 0], na[na > 0]), (ib[nb > 0], nb[nb > 0])]
-                ids = np.concatenate([u, *(g[0] for g in got)])
-                links = pa.array(np.concatenate([v, np.zeros(len(ids) - len(u), np.int64)]), mask=np.arange(len(ids)) >= len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), links, pa.array(np.concatenate([np.zeros(len(u), np.int64), *(g[1] for g in got)]))], ["u", "v", "n"])
+def _compared(axes: dict, threshold: float, kind: str):
+    """The tile pairs (a, b, every) of one pair of groups, given all their tiles."""
+
+    def f(tiles: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {}
+        for t, d, ids, counts, raw, norms in zip(*(tiles.column(c).to_pylist() for c in ("tile", "d", "ids", "counts", "raw", "norms")), strict=True):
+            held[t] = (d, np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64), raw, np.frombuffer(norms))
+        links = {t: np.zeros(len(x[1]), np.int64) for t, x in held.items()}
+        us, vs = [], []
+        for a, b, every in sorted(zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "every")), strict=True)):
+            (d, ia, ca, ra, na), (_, ib, cb, rb, nb) = held[a], held[b]
+            if every:
+                links[a] += cb.sum() - (ca if a == b else 0)
+                if a != b:
+                    links[b] += ca.sum()
+                ids = ia if a == b else np.concatenate((ia, ib))
+                u = ids[ids != ids.min()]
+                v = np.full(len(u), ids.min())
+            else:
+                i, j = tile_links(_units(ra, na, kind), _units(rb, nb, kind), *axes[d], threshold, a == b)
+                links[a] += np.bincount(i, cb[j], len(ia)).astype(np.int64)
+                links[b] += np.bincount(j, ca[i], len(ib)).astype(np.int64)
+                u, v = forest(i, j, ia) if a == b else forest(i, j + len(ia), np.concatenate((ia, ib)))
+            us.append(u)
+            vs.append(v)
+        some = [(held[t][1][n > 0], n[n > 0]) for t, n in links.items()]
+        u, k = np.concatenate(us), sum(len(x) for x, _ in some)
+        ids = np.concatenate([u, *(x for x, _ in some)])
+        far = pa.array(np.concatenate([*vs, np.zeros(k, np.int64)]), mask=np.arange(len(ids)) >= len(u))
+        return pa.table({"u": ids, "v": far, "n": np.concatenate([np.zeros(len(u), np.int64), *(n for _, n in some)])})
 
     return f
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    rows = cut(vectors.select("vec_id", "embedding").mapInArrow(_prepared, "vec_id bigint, digest binary, unit binary"), "vectors")
-    classes = cut(rows.where("digest IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    whole = rows.join(classes, "digest").where("vec_id = rep").dropDuplicates(["digest"]).select("rep", "n", "unit")
-    whole = cut(whole, "distinct")
-    axes = principal_axes(whole)
+def _found(rows: DataFrame, classes: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(u, v, n): links and numbers of links of the classes, in parts."""
+    spark = rows.sparkSession
+    whole = rows.join(classes, "digest").where("vec_id = rep").dropDuplicates(["digest"]).select("rep", "n", "raw", "norm")
+    whole, n = counted(whole, "distinct")
+    axes = principal_axes(whole, kind)
     width = math.sqrt(2 - 2 * threshold) + SLACK
-    placed = whole.mapInArrow(_cells(axes, width), "rep bigint, n bigint, unit binary, d int, c0 int, c1 int, c2 int, y double")
-    n = whole.count()
-    parts = max(1, -(-n // TASK_ROWS))
+    placed = whole.mapInArrow(_cells(axes, width, kind), "rep bigint, n bigint, raw binary, norm double, d int, c0 int, c1 int, c2 int, y double")
+    # groups of bounded size, and as many as make a task for every core
+    groups = max(-(-n // GROUP_ROWS), min(-(-n // TILE), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))), 1)
     order = ["d", "c0", "c1", "c2", "y"]
     with small_arrow_batches(spark, 2000):
-        tiles = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(parts).mapInArrow(_tiles(axes), _TILE_FIELDS), "tiles")
-    meta = tiles.select("tile", "d", "c0", "c1", "c2", "lo", "hi", "center", "radius")
+        tiles = cut(placed.repartitionByRange(groups, *order).sortWithinPartitions(*order).coalesce(groups).mapInArrow(_tiles(axes, kind), _TILE_FIELDS), "tiles")
+    box = ["lo", "hi", "center", "radius"]
+    meta = tiles.select("tile", "d", "c0", "c1", "c2", *box)
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = meta.select([F.col(c).alias({"tile": "a"}.get(c, f"a{c}" if c in ("lo", "hi", "center", "radius") else c)) for c in meta.columns])
+    side = lambda p: meta.select(F.col("tile").alias(p), "d", "c0", "c1", "c2", *[F.col(c).alias(f"{p}{c}") for c in box])
+    left = side("a")
     for c in ("c0", "c1", "c2"):
         left = left.withColumn("_s", F.explode(steps)).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
-    right = meta.select([F.col(c).alias({"tile": "b"}.get(c, f"b{c}" if c in ("lo", "hi", "center", "radius") else c)) for c in meta.columns])
-    met = left.join(right, ["d", "c0", "c1", "c2"]).where("a <= b")
+    met = left.join(side("b"), ["d", "c0", "c1", "c2"]).where("a <= b")
     with small_arrow_batches(spark, 500):
-        met = cut(met.mapInArrow(_near(threshold), "a bigint, b bigint, every boolean"), "met")
-    side = lambda p: tiles.select(F.col("tile").alias(p), *([F.col("d")] if p == "a" else []), F.col("ids").alias(f"{p}i"), F.col("counts").alias(f"{p}c"), F.col("units").alias(f"{p}u"))
+        met, n = counted(met.mapInArrow(_near(threshold), "a bigint, b bigint, every boolean"), "met")
+    # a tile's number begins with that of its group
+    met = met.withColumns({"ga": F.shiftright("a", 32), "gb": F.shiftright("b", 32)})
+    wanted, n = counted(met.select("ga", "gb", F.explode(F.array("a", "b")).alias("tile")).distinct(), "wanted")
+    sent = tiles.select("tile", "d", "ids", "counts", "raw", "norms").join(small(wanted, n), "tile")
+    compared = sent.groupBy("ga", "gb").cogroup(met.groupBy("ga", "gb")).applyInArrow(_compared(axes, threshold, kind), "u bigint, v bigint, n bigint")
     with small_arrow_batches(spark, 8):
-        compared = met.repartition(max(1, min(2000, parts * 4)), "a", "b").join(side("a"), "a").join(side("b"), "b")
-        found = cut(compared.mapInArrow(_compared(axes, threshold), "u bigint, v bigint, n bigint"), "found")
+        return cut(compared, "found")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+    spark = vectors.sparkSession
+    vectors = vectors.select("vec_id", "embedding")
+    kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    rows = cut(vectors.mapInArrow(_prepared(kind), "vec_id bigint, digest binary, raw binary, norm double"), "vectors")
+    classes = cut(rows.where("digest IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    with Scratch(spark) as scratch:
+        found = scratch.keep(_found(rows, classes, threshold, kind))
     counts = found.where("n > 0").groupBy("u").agg(F.sum("n").alias("links"))
     links = found.where("v IS NOT NULL").select("u", "v")
     labels = connected_components(links, links.count())

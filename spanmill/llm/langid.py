@@ -8,16 +8,24 @@ ranking is compared by out-of-place distance: the sum of rank differences, with
 The score is the margin of the nearest profile over the next, from 0 to 1 (with one
 language, how near it is). A text that is NULL or has no letter, and any text where
 nothing was learned, is ``und`` with score 0. Ties go to the first language in
-alphabetical order.
+alphabetical order, ties between n-grams to the smaller code. Texts are read whole, whatever
+their length; repeated rows get the same answer each, and an empty table an empty result.
+
+Profiles of up to ``MAX_LANGUAGES`` languages go to every task as one matrix; more are
+joined with the documents' n-grams, to the same answers.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import cut, sealed
+
 TOP = 300
 UNDETERMINED = "und"
 #: Letters below U+0250 have codes of their own; others share the rest of the 1,023.
@@ -29,8 +37,9 @@ _table = None
 def _letters() -> np.ndarray:
     global _table
     if _table is None:
-        t = np.zeros(0x110000, np.uint32)
-        alpha = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        n = sys.maxunicode + 1
+        t = np.zeros(n, np.uint32)
+        alpha = np.fromiter((chr(c).isalpha() for c in range(n)), bool, n)
         cp = np.nonzero(alpha)[0]
         low = cp[cp < _DIRECT]
         t[low] = low + 1
@@ -83,21 +92,26 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
-    """lang -> its n-grams, most frequent first, from ``docs`` (text, lang)."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+def learn(docs: DataFrame, top: int = TOP, most: int = MAX_LANGUAGES) -> dict[str, list[int]] | DataFrame:
+    """lang -> its n-grams, most frequent first, from ``docs`` (text, lang); of more than ``most`` languages a table (lang, gram, r)."""
+    rows = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    got = best.select("lang", "gram", "r").limit(MAX_LANGUAGES * top + 1).collect()  # the profiles go to every task
-    if len(got) > MAX_LANGUAGES * top:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    best = cut(counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("lang", "gram", "r"), "profiles")
+    if best.where("r = 1").count() > most:
+        return best
     out: dict[str, list[int]] = {}
-    for lang, gram, _ in sorted(got, key=lambda r: (r[0], r[2])):
+    for lang, gram, _ in sorted(best.collect(), key=lambda r: (r[0], r[2])):
         out.setdefault(lang, []).append(gram)
     return out
 
 
+def ranked(text: str | None, top: int = TOP) -> np.ndarray:
+    """The text's most frequent n-grams, in order."""
+    u, n = np.unique(ngrams(text), return_counts=True)
+    return u[np.argsort(-n, kind="stable")[:top]]
+
+
 class Profiles:
     """Profiles as one matrix of ranks."""
 
@@ -110,11 +124,9 @@ class Profiles:
             self.ranks[at, k] = np.arange(len(at))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        codes = ngrams(text)
-        if not len(codes) or not self.langs:
+        own = ranked(text, self.top)
+        if not len(own) or not self.langs:
             return UNDETERMINED, 0.0
-        u, n = np.unique(codes, return_counts=True)
-        own = u[np.argsort(-n, kind="stable")[: self.top]]
         at = np.searchsorted(self.grams, own)
         at[at < len(self.grams)] = np.where(self.grams[at[at < len(self.grams)]] == own[at < len(self.grams)], at[at < len(self.grams)], len(self.grams))
         ranks = self.ranks[at]
@@ -126,21 +138,45 @@ class Profiles:
         return self.langs[k], float((second - d[k]) / second) if second else 0.0
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], text: str = "text", top: int = TOP) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]] | DataFrame, columns: list[str], text: str = "text", top: int = TOP) -> DataFrame:
     """``columns`` of every row of ``docs`` with lang_pred and score."""
+    df, names, (body,) = sealed(docs, columns, text)
+    if isinstance(profiles, DataFrame):
+        return _joined(df, profiles, names, body, top).toDF(*columns, "lang_pred", "score")
     model = Profiles(profiles, top)
-    names = columns if text in columns else [*columns, text]
-    at = names.index(text)
 
     def predict(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                got = [model.predict(t) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(columns))), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*columns, "lang_pred", "score"])
+                got = [model.predict(t) for t in part.column(body).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*names, "lang_pred", "score"])
+
+    schema = df.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    return df.mapInArrow(predict, schema).toDF(*columns, "lang_pred", "score")
 
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names).mapInArrow(predict, schema)
+
+def _joined(df: DataFrame, profiles: DataFrame, names: list[str], body: str, top: int) -> DataFrame:
+    """The same with profiles (lang, gram, r) that no task should hold: distances are summed over the n-grams that both have."""
+
+    def rank(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                grams = [ranked(t, top).astype(np.int64) for t in part.column(body).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(grams, pa.list_(pa.int64()))], [*names, "_grams"])
+
+    own = df.mapInArrow(rank, df.select(*names).schema.add("_grams", "array<bigint>")).withColumn("_row", F.monotonically_increasing_id())
+    flat = own.select(*names, "_row", F.size("_grams").alias("_n"), F.posexplode_outer("_grams").alias("_at", "gram"))
+    near = F.abs(F.col("r") - 1 - F.col("_at")) - top
+    per = flat.join(profiles, "gram", "left").groupBy("_row", "lang").agg(*[F.first(c).alias(c) for c in (*names, "_n")], F.sum(near).alias("_less"))
+    one = F.when(F.col("lang").isNotNull(), F.struct((F.col("_n") * top + F.col("_less")).alias("d"), "lang"))
+    best = per.groupBy("_row").agg(*[F.first(c).alias(c) for c in (*names, "_n")], F.slice(F.sort_array(F.collect_list(one)), 1, 2).alias("_two"))
+    first = F.get(F.col("_two"), F.lit(0))
+    # languages that share no n-gram are as far as can be
+    second = F.coalesce(F.get(F.col("_two"), F.lit(1))["d"], F.col("_n") * top)
+    lang = F.when(F.col("_n") == 0, UNDETERMINED).otherwise(F.coalesce(first["lang"], F.lit(profiles.agg(F.min("lang")).first()[0])))
+    return best.select(*names, lang.alias("lang_pred"), F.when((F.col("_n") > 0) & first.isNotNull() & (second > 0), (second - first["d"]) / second).otherwise(F.lit(0.0)).alias("score"))
 
 
 def remainder(doc_id: str | Column, mod: int) -> Column:

@@ -1,123 +1,192 @@
 """License scans by a positional rare-token index (operator 7), DataFrame functions only.
 
-Templates are short statements of licences. Document frequencies of all their words
-are counted over all texts; a template is posted under its ``ANCHORS`` words of
-highest IDF, with their offsets. A file's anchor words are looked up, postings are
-intersected by relative position (where the template would begin), and a template
-counts where at least two anchors (or its only one) agree and its mandatory key
-phrase stands at its place.
-
-Positions are word numbers from 0. A NULL text is empty. Repeated rows are scored each on its own.
+Templates are licence texts, notices and short statements. Document frequencies of all
+their words are counted over all texts; a template is posted under its ``ANCHORS`` words
+of highest IDF, with every offset at which it has them. A file's words are looked up in
+that index first, which gives its hits (word, position); then the postings of each
+template are intersected by relative position: where it would begin is where at least
+``AGREE`` different anchors put it. Only there are the mandatory key phrases looked for,
+each within the template's reach, and a template counts where all of them stand. Its
+score is the share of its anchors' IDF that agreed.
+
+All of it happens within a file's row: nothing is exploded, joined or shuffled, and a
+file of n hits takes some n log n steps. The index has a few postings for each template.
+
+Positions are word numbers from 0. A NULL text is empty. Repeated rows are scored each on
+its own. Templates of one label count once; ties in IDF go to the word that stands
+earlier in the template. Texts may be of any length, columns have any names, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.decontaminate import SEPARATORS, ascii_lower
+from spanmill.llm.common import running_max, running_total, sealed
+from spanmill.llm.decontaminate import SEPARATORS, ascii_lower, words
+from spanmill.llm.license_texts import STATEMENTS, TEXTS
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, statement, mandatory key phrase within it), as words.
-TEMPLATES = [
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    ("cc0-1.0", "dedicated to the public domain under cc0 1 0", "cc0 1 0"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
-    ("mit-statement", "released under the mit license", "under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
-ANCHORS = 3
+#: Words of a text's template that are posted; different ones that must agree on where it begins.
+ANCHORS, AGREE = 8, 2
+#: Words that a file may have dropped from or added to a text before one of its parts.
+DRIFT = 20
 
 
-def _body(text: str) -> Column:
-    """The words, each with one space before it, and a space at the end; ``x`` in front so that no phrase is first."""
-    return F.concat(F.lit("x "), F.trim(F.regexp_replace(ascii_lower(text), SEPARATORS, " ")), F.lit(" "))
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
 
 
-def _spaces(x: Column) -> Column:
-    return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("bigint")
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: tuple[str, ...]
+    #: Key phrases, as words, and where they stand.
+    keys: tuple[tuple[tuple[str, ...], int], ...]
+    #: 0 in a statement, whose words must stand together.
+    drift: int
 
 
-def _before(phrases) -> str:
-    """Zero-width pattern before any of the phrases."""
-    return "(?= (?:" + "|".join(sorted(phrases)) + ") )"
+def _template(label: str, text: str, keys: list[str], drift: int) -> Template:
+    words = words_of(text)
+    placed = []
+    for k in (key.split() for key in keys):
+        placed.append((tuple(k), next(i for i in range(len(words)) if words[i : i + len(k)] == k)))
+    return Template(label, tuple(words), tuple(placed), drift)
 
 
-def _placed(body: str, phrases, kept: int) -> Column:
-    """Where phrases begin: array<struct<at, head>>, head being the next ``kept`` characters."""
-    pieces = F.split(body, _before(phrases), -1)
-    kind = "array<struct<at:bigint,head:string>>"
-
-    def step(acc, p):
-        here = F.struct(acc["at"].alias("at"), F.substring(p, 2, kept).alias("head"))
-        return F.struct((acc["at"] + _spaces(p)).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: F.slice(acc["out"], 2, F.greatest(F.size(acc["out"]) - 1, F.lit(0))))
+TEMPLATES = [*(_template(label, t, keys, DRIFT) for label, t, keys in TEXTS), *(_template(label, t, [key], 0) for label, t, key in STATEMENTS)]
 
 
 def word_idf(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """IDF over all rows of every word of the templates (as many numbers as they have words)."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
-    present = F.array_intersect(F.split(_body(text), " "), F.array(*map(F.lit, vocabulary)))
-    per = docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("w")).groupBy("w").count()
+    vocabulary = sorted({w for t in TEMPLATES for w in t.words})
+    present = F.array_intersect(F.split(ascii_lower(text), SEPARATORS), F.array(*map(F.lit, vocabulary)))
+    per = docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     n = {r[0]: r[1] for r in per.collect()}
     total = n.get("", 0)
     return {w: math.log((total + 1) / (n.get(w, 0) + 1)) for w in vocabulary}
 
 
-def postings(idf: dict[str, float]) -> list[tuple[str, int, int, str, int, float, float]]:
-    """(word, template, offset, key phrase, its offset, IDF, sum of the template's IDFs) per anchor."""
-    out = []
-    for k, (_, statement, key) in enumerate(TEMPLATES):
-        words = statement.split()
-        anchors = sorted(dict.fromkeys(words), key=lambda w: (-idf[w], words.index(w)))[:ANCHORS]
-        key_at = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
-        total = sum(idf[w] for w in anchors)
-        out += [(w, k, i, key, key_at, idf[w], total) for i, w in enumerate(words) if w in anchors]
+def anchors(template: Template, idf: dict[str, float]) -> dict[str, int]:
+    """The template's ``ANCHORS`` words of highest IDF, and their shares of these words' IDF in millionths."""
+    best = sorted(dict.fromkeys(template.words), key=lambda w: (-idf[w], template.words.index(w)))[:ANCHORS]
+    total = sum(idf[w] for w in best)
+    return {w: round(1e6 * idf[w] / total) if total > 0 else 10**6 // len(best) for w in best}
+
+
+def postings(idf: dict[str, float]) -> dict[str, list[tuple[int, int, int, int, int]]]:
+    """word -> (template, offset, anchor, share, drift)."""
+    out: dict[str, list] = {}
+    for t, template in enumerate(TEMPLATES):
+        for k, (w, share) in enumerate(anchors(template, idf).items()):
+            out.setdefault(w, []).extend((t, i, k, share, template.drift) for i, x in enumerate(template.words) if x == w)
     return out
 
 
+def _literal(value, kind: str) -> Column:
+    """A constant of any type, in one expression."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _hits(words: str, wanted: list[str]) -> Column:
+    """array<struct<w, p>>: where any of the words ``wanted`` stands."""
+    return F.filter(F.transform(words, lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("w"), i.alias("p")))), lambda h: h.isNotNull())
+
+
+def _votes(hits: str, index: dict[str, list]) -> Column:
+    """array<struct<t, b, k, share>>, sorted: anchor k puts template t at b.
+
+    Texts are put into steps of their drift: a vote counts in the step that it falls in
+    and in the next, so that those a drift apart meet in one of them.
+    """
+    by_word = _literal({w: [dict(zip("toksd", r, strict=True)) for r in rows] for w, rows in sorted(index.items())}, "map<string,array<struct<t:int,o:int,k:int,s:bigint,d:int>>>")
+
+    def vote(h: Column, x: Column, step: int) -> Column:
+        begin = h["p"] - x["o"]
+        b = F.when(x["d"] == 0, begin).otherwise((F.floor(begin / F.greatest(x["d"], F.lit(1))).cast("int") + step) * x["d"])
+        return F.when((x["d"] > 0) | F.lit(step == 0), F.struct(x["t"].alias("t"), b.alias("b"), x["k"].alias("k"), x["s"].alias("share")))
+
+    every = F.flatten(F.transform(hits, lambda h: F.flatten(F.transform(F.coalesce(F.element_at(by_word, h["w"]), F.array().cast("array<struct<t:int,o:int,k:int,s:bigint,d:int>>")), lambda x: F.array(vote(h, x, 0), vote(h, x, 1))))))
+    return F.sort_array(F.filter(every, lambda v: v.isNotNull()))
+
+
+def _distinct(sorted_votes: str) -> Column:
+    """Each vote once; neighbours are compared, as a set of structs would compare all."""
+    return F.filter(sorted_votes, lambda v, i: (i == 0) | (F.get(F.col(sorted_votes), i - 1) != v))
+
+
+def _first_of_run(votes: str) -> Column:
+    """For every vote, the number of the first one with its template and beginning."""
+    own = F.transform(votes, lambda v, i: F.when((i == 0) | (F.get(F.col(votes), i - 1)["t"] != v["t"]) | (F.get(F.col(votes), i - 1)["b"] != v["b"]), i))
+    return running_max(own)
+
+
+def _candidates(votes: str, first: str, total: str) -> Column:
+    """array<struct<t, b, share>>: beginnings on which enough anchors agree."""
+    least = _literal([min(AGREE, len(set(t.words))) for t in TEMPLATES], "array<int>")
+    numbered = F.transform(votes, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+
+    def one(x: Column, f: Column) -> Column:
+        v, i = x["v"], x["i"]
+        nxt = F.get(F.col(votes), i + 1)
+        last = nxt.isNull() | (nxt["t"] != v["t"]) | (nxt["b"] != v["b"])
+        share = F.get(F.col(total), i) - F.coalesce(F.get(F.col(total), f - 1), F.lit(0).cast("bigint"))
+        return F.when(last & (i - f + 1 >= F.get(least, v["t"])), F.struct(v["t"].alias("t"), v["b"].alias("b"), share.alias("share")))
+
+    return F.filter(F.zip_with(numbered, first, one), lambda c: c.isNotNull())
+
+
+def _verified(candidates: str, words: str) -> Column:
+    """The candidates all of whose key phrases stand near their places."""
+    keys = _literal([[{"phrase": list(k), "at": at, "reach": 2 * t.drift} for k, at in t.keys] for t in TEMPLATES], "array<array<struct<phrase:array<string>,at:int,reach:int>>>")
+
+    def stands(c: Column, k: Column) -> Column:
+        place = c["b"] + k["at"]
+        # word by word: a slice would copy the file's words each time
+        here = lambda d: F.forall(F.transform(k["phrase"], lambda x, j: F.coalesce(F.get(F.col(words), place + d + j), F.lit("")) == x), lambda same: same)
+        return F.exists(F.sequence(-k["reach"], k["reach"]), here)
+
+    return F.filter(candidates, lambda c: F.forall(F.get(keys, c["t"]), lambda k: stands(c, k)))
+
+
 def scan(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """``columns``, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays) and score per row."""
-    spark = docs.sparkSession
-    posted = postings(word_idf(docs, text))
-    index = spark.createDataFrame([(*p, TEMPLATES[p[1]][0]) for p in posted], "word string, template int, offset int, key string, key_at int, idf double, total double, label string")
-    longest = max(len(k) for _, _, k in TEMPLATES) + 1
-    df = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), _body(text).alias("_body"))
-    none = F.array().cast("array<struct<at:bigint,head:string>>")
-    df = df.select(
-        *columns, "_row",
-        F.when(F.length("_body") > 3, _spaces(F.col("_body")) - 1).otherwise(F.lit(0)).cast("bigint").alias("n_words"),
-        F.when(F.col("_body").rlike(_before(BASE)), _placed("_body", BASE, 30)).otherwise(none).alias("_base"),
-        F.when(F.col("_body").rlike(_before({k for _, _, k in TEMPLATES})), _placed("_body", {k for _, _, k in TEMPLATES}, longest)).otherwise(none).alias("_keys"),
-        F.when(F.col("_body").rlike(_before({k for _, _, k in TEMPLATES})), F.transform(_placed("_body", {p[0] for p in posted}, 40), lambda x: F.struct(x["at"].alias("at"), F.substring_index(x["head"], " ", 1).alias("word")))).alias("_hits"),
-    )
-    flat = df.select(*columns, "_row", "n_words", "_base", "_keys", F.explode_outer("_hits").alias("_h"))
-    flat = flat.select(*columns, "_row", "n_words", "_base", "_keys", F.col("_h.at").alias("at"), F.col("_h.word").alias("word"))
-    # the index has a few rows per template
-    met = flat.join(F.broadcast(index), "word", "left").withColumn("begin", F.col("at") - F.col("offset"))
-    met = met.withColumn("ok", F.exists("_keys", lambda k: (k["at"] == F.col("begin") + F.col("key_at")) & F.startswith(F.concat(k["head"], F.lit(" ")), F.concat(F.col("key"), F.lit(" ")))))
-    first = [F.first(c).alias(c) for c in (*columns, "n_words", "_base")]
-    votes = met.groupBy("_row", "template", "begin").agg(*first, F.first("label").alias("label"), F.max("ok").alias("ok"), F.count_distinct("word").alias("agree"), F.sum("idf").alias("got"), F.first("total").alias("total"))
-    need = F.when(F.col("ok") & (F.col("agree") >= 2), F.col("label"))
-    share = F.when(need.isNotNull() & (F.col("total") > 0), F.least(F.col("got") / F.col("total"), F.lit(1.0))).when(need.isNotNull(), F.lit(1.0))
-    per = votes.groupBy("_row").agg(*first, F.collect_set(need).alias("_own"), F.max(share).alias("_share"))
-    names = F.array_sort(F.array_distinct(F.transform("_base", lambda x: F.when(F.startswith(x["head"], F.lit("gnu")), "gpl").when(F.startswith(x["head"], F.lit("apache")), "apache").when(F.startswith(x["head"], F.lit("cc")), "cc-by").otherwise("mit"))))
-    return per.select(
-        *columns, "n_words", F.size("_base").cast("bigint").alias("n_base"), F.get(F.col("_base"), F.lit(0))["at"].alias("first_word"), F.get(F.col("_base"), F.size("_base") - 1)["at"].alias("last_word"),
-        names.alias("base_labels"), F.array_sort(F.array_union(names, F.col("_own"))).alias("labels"), F.coalesce("_share", F.when(F.size("_base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
+    index = postings(word_idf(docs, text))
+    df, names, (body,) = sealed(docs, columns, text)
+    firsts = {p.split()[0] for p in BASE}
+    df = df.select(*names, words(body).alias("_w"))
+    df = df.withColumn("_h", _hits("_w", sorted(firsts | set(index))))
+    df = df.withColumn("_v", F.when(F.size("_h") > 1, _votes("_h", index)))
+    df = df.withColumn("_v", _distinct("_v"))
+    df = df.withColumns({"_f": _first_of_run("_v"), "_t": running_total(F.transform("_v", lambda v: v["share"]))})
+    df = df.withColumn("_c", _candidates("_v", "_f", "_t"))
+    df = df.withColumn("_c", F.when(F.size("_c") > 0, _verified("_c", "_w")))
+
+    def base(h: Column) -> Column:
+        out = None
+        for phrase, label in BASE.items():
+            first, *rest = phrase.split()
+            here = h["w"] == first
+            for k, w in enumerate(rest, 1):
+                here = here & (F.coalesce(F.get(F.col("_w"), h["p"] + k), F.lit("")) == w)
+            out = F.when(here, label) if out is None else out.when(here, label)
+        return F.struct(h["p"].cast("bigint").alias("at"), out.alias("label"))
+
+    df = df.withColumn("_b", F.filter(F.transform("_h", base), lambda x: x["label"].isNotNull()))
+    labels = F.array_sort(F.array_distinct(F.transform("_b", lambda x: x["label"])))
+    names_of = _literal([t.label for t in TEMPLATES], "array<string>")
+    own = F.coalesce(F.transform("_c", lambda c: F.get(names_of, c["t"])), F.array().cast("array<string>"))
+    share = F.array_max(F.transform("_c", lambda c: F.least(c["share"] / 1e6, F.lit(1.0))))
+    out = df.select(
+        *names, F.size("_w").cast("bigint").alias("n_words"), F.size("_b").cast("bigint").alias("n_base"), F.get(F.col("_b"), F.lit(0))["at"].alias("first_word"), F.get(F.col("_b"), F.size("_b") - 1)["at"].alias("last_word"),
+        labels.alias("base_labels"), F.array_sort(F.array_union(labels, own)).alias("labels"), F.coalesce(share, F.when(F.size("_b") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
     )
+    return out.toDF(*columns, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

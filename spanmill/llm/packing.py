@@ -1,17 +1,23 @@
 """Best-fit packing of token sequences (operator 10).
 
-Hierarchical residual packing: every partition packs its own pieces best-fit
-decreasing and gives out its nearly full bins; bins that are underfull go on as items,
-a few partitions together, and are packed best-fit again, until one partition is left.
-Each level moves bins (an id and a size), never pieces or tokens, and fewer of them
-than the level before.
-
-Token ids come from a byte-level BPE vocabulary file of the ``tokenizers`` library.
-Pre-tokens are looked up in a cache of encoded ids; what the cache lacks is encoded
-by the library's model. Texts with characters or white space for which cutting at
-single spaces could differ from the library's own splitting go to the library whole.
-
-A NULL text is empty: its only token is the separator. Repeated doc_ids are separate documents.
+Hierarchical residual packing: every block of pieces is packed best-fit decreasing and
+gives out its nearly full bins; underfull bins go on as items, a few blocks together,
+and are packed best-fit again, until one block is left. Two bins that are both more than
+half full never fit together, and best-fit leaves a block one bin that is not. So a
+block sends on that bin and, of the underfull ones, as many of each size as the blocks
+it meets can fill (``FAN_IN``); further ones would find no item. What a task above the
+lowest level holds is therefore bounded by the capacity, whatever the sizes of the
+pieces, and each level moves bins (an id and a size), never pieces or tokens.
+
+Token ids are those of a vocabulary file of the ``tokenizers`` library, by its plain
+``encode`` without added special tokens. A byte-level BPE file whose merges stand in the
+order of their ids is run by ``tiktoken``, which gives the same ids faster; texts that
+contain an added token, or code points for which the two were not compared, and all
+texts under other vocabularies, go to the library whole.
+
+A NULL text is empty: its only token is the separator. Repeated doc_ids are separate
+documents, told apart by their sequences and offsets. Texts of any length are cut into pieces. Ties go to the smaller
+(doc_id, piece). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,27 +26,26 @@ import json
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut
+from spanmill.llm.common import Scratch, counted, cut, small, small_arrow_batches
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Bins from this size on are given out at once.
 NEARLY_FULL = 2040
 FAN_IN = 8
+#: Pieces that one task packs.
+BLOCK_ROWS = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
-#: Outside of these, classes of characters may differ between regular expression engines.
-_ODD = re.compile("[^\t\n\r -~\xa0-ɏ‐-‧‰-⁞€]")
-#: A space inside a run of white space, or ending one at the end of the text.
-_RUN = re.compile(r"\s (?:\s|\Z)")
-#: Letters and numbers among the characters that ``_ODD`` lets through.
-_L = "A-Za-z" + "".join(re.escape(chr(c)) for c in range(0xA0, 0x250) if chr(c).isalpha())
-_N = "0-9" + "".join(chr(c) for c in range(0xA0, 0x250) if chr(c).isnumeric())
-_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Below this, both libraries were found to class all code points alike.
+_COMPARED = 0x92000
 
 
 def default_vocabulary() -> str:
@@ -56,65 +61,38 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
-#: Marks that stand together as one pre-token after a word.
-_TAIL = ".,;:!?|*#$%&"
-
-
-class _Recent(dict):
-    """Results of ``f``, in two generations: when one is full, the one before it goes."""
-
-    def __init__(self, f, size: int):
-        super().__init__()
-        self.f, self.size, self.old = f, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.f(key)
-        self[key] = out
-        return out
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids, where they are all that the encoding depends on."""
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"] or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocabulary, added = model["vocab"], {t["content"] for t in spec["added_tokens"]}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(set(merged)):
+        return None
+    back = {v: k for k, v in _byte_letters().items()}
+    return {bytes(back[c] for c in t): i for t, i in vocabulary.items() if t not in added}
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit words."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         spec = json.loads(self.whole.to_str())
-        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
-        # the cut at single spaces holds for this kind of file only
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["normalizer"] and model["type"] == "BPE"
-        letters = _byte_letters()
-        model_tokenize = self.whole.model.tokenize
-
-        def encode_pre(token: str) -> bytes:
-            mapped = token.encode().decode("latin-1").translate(letters)
-            return b"".join([t.id.to_bytes(4, "little") for t in model_tokenize(mapped)])
-
-        pre_tokens = _Recent(encode_pre, 300_000)
-
-        def encode_chunk(chunk: str) -> bytes:
-            core = chunk.rstrip(_TAIL)
-            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-                return pre_tokens[core] + pre_tokens[chunk[len(core) :]] if len(core) < len(chunk) else pre_tokens[core]
-            return b"".join([pre_tokens[t] for t in _PRE.findall(chunk)])
-
-        self.chunks = _Recent(encode_chunk, 200_000)
+        ranks = _ranks(spec)
+        self.fast = tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        odd = [re.escape(t["content"]) for t in spec["added_tokens"]] + [f"[{chr(_COMPARED)}-{chr(0x10FFFF)}]"]
+        self.odd = re.compile("|".join(odd))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or _ODD.search(text) or ("  " in text or "\n " in text or "\t " in text or "\r " in text or "\xa0 " in text or text[-1] == " ") and _RUN.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        get = self.chunks.__getitem__
-        return (get(first) if first else b"") + b"".join([get(" " + c) for c in rest])
+        ids = self.whole.encode(text, add_special_tokens=False).ids if self.fast is None or self.odd.search(text) else self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -182,49 +160,88 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
     return bins, offsets, totals
 
 
-def _packed(batches, level: int, key: str, columns: list[str], capacity: int):
-    """Rows with bin, base and, at the first row of each bin, total."""
+def rooms(totals: list[int], capacity: int, nearly_full: int, fan_in: int) -> list[bool]:
+    """Which bins of a block go on: the one at most half full, and of each underfull size as many as other blocks can use."""
+    left = {}
+    out = []
+    for n in totals:
+        left[n] = left.get(n, fan_in) - 1
+        out.append(n < nearly_full and (2 * n <= capacity or left[n] >= 0))
+    return out
+
+
+def _packed(batches, columns: list[str], capacity: int, nearly_full: int, fan_in: int):
+    """Rows with bin and base and, at the first row of each bin, its total and whether it goes on."""
     from pyspark import TaskContext
 
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
     table = table.sort_by([(c, "ascending") for c in columns])
-    bins, offsets, totals = best_fit(table.column(key).to_pylist(), capacity)
-    first = (level << 58) | (TaskContext.get().partitionId() << 34)
-    more = {"bin": pa.array([first + b for b in bins], pa.int64()), "base": pa.array(offsets, pa.int64()), "total": pa.array([totals[b] if not o else None for b, o in zip(bins, offsets, strict=True)], pa.int64())}
+    bins, offsets, totals = best_fit(table.column("length").to_pylist(), capacity)
+    up = rooms(totals, capacity, nearly_full, fan_in)
+    node = TaskContext.get().partitionId()
+    first = [not o for o in offsets]
+    more = {
+        "node": pa.array([node] * len(bins), pa.int64()), "bin": pa.array([(node << 34) + b for b in bins], pa.int64()), "base": pa.array(offsets, pa.int64()),
+        "total": pa.array([totals[b] if f else None for b, f in zip(bins, first, strict=True)], pa.int64()), "up": pa.array([f and up[b] for b, f in zip(bins, first, strict=True)], pa.bool_()),
+    }
     for n, c in more.items():
         table = table.append_column(n, c)
     yield from table.to_batches(max_chunksize=10_000)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, fan_in: int = FAN_IN) -> DataFrame:
+def merged(capacity: int, nearly_full: int, fan_in: int):
+    """Bins (node, bin, total) of a few blocks as items: the bin and offset that each is at now; with base 0 it stays, with its new total."""
+
+    def f(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        ids = table.column("bin").to_pylist()
+        bins, offsets, totals = best_fit(table.column("total").to_pylist(), capacity)
+        holder = {b: i for i, b, o in zip(ids, bins, offsets, strict=True) if not o}
+        up = rooms(totals, capacity, nearly_full, fan_in)
+        return pa.table({
+            "node": table.column("node"), "bin": table.column("bin"), "now": pa.array([holder[b] for b in bins], pa.int64()), "base": pa.array(offsets, pa.int64()),
+            "total": pa.array([totals[b] for b in bins], pa.int64()), "up": pa.array([not o and up[b] for b, o in zip(bins, offsets, strict=True)], pa.bool_()),
+        })
+
+    return f
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, fan_in: int = FAN_IN, block: int = BLOCK_ROWS) -> DataFrame:
     """``items`` (as ``pieces``, a table that was written) with sequence_id and offset."""
     columns = items.columns
-    rows = items.mapInArrow(lambda b: _packed(b, 0, "length", columns, capacity), ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", bin bigint, base bigint, total bigint")
-    rows = cut(rows, "bins0")
-    parts = rows.rdd.getNumPartitions()
-    open_bins = rows.where(F.col("total") < nearly_full).select("bin", "total")
-    moves, level = None, 0
-    while True:
-        parts, level = max(1, -(-parts // fan_in)), level + 1
-        step = open_bins.select(F.col("bin").alias("was"), F.col("total").alias("size")).coalesce(parts)
-        step = cut(step.mapInArrow(lambda b, level=level: _packed(b, level, "size", ["was", "size"], capacity), "was bigint, size bigint, bin bigint, base bigint, total bigint"), f"bins{level}")
-        one = step.select("was", F.col("bin").alias("now"), "base")
-        if moves is None:
-            moves = one
-        else:
-            nxt = one.select(F.col("was").alias("now"), F.col("now").alias("_now"), F.col("base").alias("_base"))
-            moves = moves.join(nxt, "now", "left").select("was", F.coalesce("_now", "now").alias("now"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base"))
-        if parts == 1:
-            break
-        open_bins = step.where(F.col("total") < nearly_full).select("bin", "total")
-    moves = moves.select(F.col("was").alias("bin"), "now", F.col("base").alias("_base"))
-    out = rows.join(moves, "bin", "left")
+    blocks = -(-items.count() // block)
+    if blocks > 1:
+        items = items.repartition(blocks)
+    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", node bigint, bin bigint, base bigint, total bigint, up boolean"
+    rows = cut(items.mapInArrow(lambda b: _packed(b, columns, capacity, nearly_full, fan_in), schema), "bins")
+    with Scratch(items.sparkSession) as scratch:
+        moves = merge_tree(rows.where("up").select("node", "bin", "total"), capacity, nearly_full, fan_in)
+        moves, n = counted(moves.select("bin", "now", F.col("base").alias("_base")), "moves")
+        scratch.keep(moves)
+    out = rows.join(small(moves, n), "bin", "left")
     return out.select(*columns, F.coalesce("now", "bin").alias("sequence_id"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("offset"))
 
 
+def merge_tree(bins: DataFrame, capacity: int, nearly_full: int, fan_in: int) -> DataFrame:
+    """(bin, now, base) of the bins (node, bin, total) that end inside others."""
+    top = bins.agg(F.max("node")).first()[0] or 0
+    moves = bins.select("bin", F.col("bin").alias("now"), F.lit(0).cast("bigint").alias("base")).limit(0)
+    while top:
+        top //= fan_in
+        step = bins.withColumn("node", F.expr(f"node div {fan_in}L")).groupBy("node").applyInArrow(merged(capacity, nearly_full, fan_in), "node bigint, bin bigint, now bigint, base bigint, total bigint, up boolean")
+        step = cut(step, "level")
+        one = step.where("base > 0").select("bin", "now", "base")
+        nxt = one.select(F.col("bin").alias("now"), F.col("now").alias("_now"), F.col("base").alias("_base"))
+        moves = moves.join(nxt, "now", "left").select("bin", F.coalesce("_now", "now").alias("now"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base")).unionByName(one)
+        bins = step.where("up").select("node", "bin", "total")
+    return moves
+
+
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs`` (doc_id, text)."""
     nearly = NEARLY_FULL * capacity // CAPACITY
-    return pack(cut(pieces(docs, vocabulary, capacity), "pieces"), capacity, nearly)
+    with small_arrow_batches(docs.sparkSession, 2_000, 8 << 20):
+        items = cut(pieces(docs, vocabulary, capacity), "pieces")
+    return pack(items, capacity, nearly)

@@ -8,9 +8,11 @@ the logistic of the intercept plus one table entry per feature and pair, added u
 for a block of rows at a time.
 
 Training uses at most ``SAMPLE`` labelled rows, those with the least hash of their
-id, so the choice depends on neither order nor partitioning. A NULL text counts as
-empty; without labels every score is 0.5, with one class it is that class's share,
-smoothed.
+id, so the choice depends on neither order nor partitioning; of several texts or labels
+under one id the smallest text and the largest label count. A NULL text counts as empty;
+without labels every score is 0.5, with one class it is that class's share, smoothed.
+Texts of any length are read whole; equal texts get equal scores, repeated rows one each,
+and an empty table an empty result. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import sealed
+
 SAMPLE = 20_000
 BINS, ROUNDS, PAIR_ROUNDS, PAIRS, PAIR_BINS, RATE = 32, 150, 60, 6, 8, 0.1
 THRESHOLD = 0.3
 
 FEATURES = [
-    "chars", "words", "word_len", "word_len_sd", "distinct_words", "top_word", "lower", "upper", "digit", "space", "punct", "symbol", "pipe", "bang", "stop_short",
+    "chars", "words", "word_len", "word_len_sd", "distinct_words", "top_word", "lower", "upper", "digit", "space", "punct", "symbol", "top_mark", "mark_runs", "short_words",
     "line_len", "repeated_lines", "sentence_len", "capital_words", "word_entropy", "punct_words",
 ]
 
-#: Kinds of code points: 0 other letter, 1 a-z, 2 upper case, 3 digit, 4 white space, 5 sentence punctuation, 6 other symbols, 7 '|', 8 '!'.
+#: Kinds of code points: 0 other letter, 1 a-z, 2 upper case, 3 digit, 4 white space, 5 sentence punctuation, 6 other symbols.
 _kinds = None
 
 
@@ -48,9 +52,8 @@ def _kind_table() -> np.ndarray:
                 t[c] = 3
             elif s.isspace():
                 t[c] = 4
-        for s in ".,;:?'\"()-":
+        for s in ".,;:?!'\"()-":
             t[ord(s)] = 5
-        t[ord("|")], t[ord("!")] = 7, 8
         _kinds = t
     return _kinds
 
@@ -62,7 +65,12 @@ def features(text: str | None) -> np.ndarray:
     n = len(text)
     if not n:
         return out
-    kinds = np.bincount(_kind_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)], minlength=9) / n
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kind = _kind_table()[codes]
+    kinds = np.bincount(kind, minlength=7) / n
+    mark = kind >= 5
+    top_mark = np.bincount(np.minimum(codes[mark], 255), minlength=1).max() / n
+    mark_runs = np.count_nonzero(mark[1:] & mark[:-1]) / n
     words = text.split()
     w = len(words)
     lens = np.fromiter(map(len, words), np.int64, w)
@@ -70,7 +78,7 @@ def features(text: str | None) -> np.ndarray:
     lines = [x for x in text.split("\n") if x.strip()]
     p = counts / max(w, 1)
     out[:] = [
-        np.log1p(n), np.log1p(w), lens.mean() if w else 0, lens.std() if w else 0, len(counts) / w if w else 0, p[0], kinds[1] + kinds[0], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[7], kinds[8], (lens <= 3).mean() if w else 0,
+        np.log1p(n), np.log1p(w), lens.mean() if w else 0, lens.std() if w else 0, len(counts) / w if w else 0, p[0], kinds[1] + kinds[0], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], top_mark, mark_runs, (lens <= 3).mean() if w else 0,
         np.log1p(n / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(w / (1 + text.count(". ") + text.count(".\n"))), sum(map(str.istitle, words)) / max(w, 1), -(p * np.log(np.maximum(p, 1e-12))).sum() / np.log(max(w, 2)),
         sum(1 for x in words if not x[-1].isalnum()) / max(w, 1),
     ]
@@ -190,21 +198,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     ys = {r[0]: r[1] for r in known.collect()}
-    got = rows.select("doc_id", "text").mapInArrow(_featured, "doc_id bigint, x array<double>").dropDuplicates(["doc_id"]).collect()
+    got = rows.mapInArrow(_featured, "doc_id bigint, x array<double>").collect()
     got.sort(key=lambda r: r[0])
     return fit(np.array([r[1] for r in got], float).reshape(len(got), len(FEATURES)), np.array([ys[r[0]] for r in got], float))
 
 
-def score(docs: DataFrame, model: Gam, columns: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Gam, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of every row with score."""
+    df, names, (body,) = sealed(docs, columns, text)
 
     def scored(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                x = np.array([features(t) for t in part.column("_text").to_pylist()]).reshape(part.num_rows, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(columns))), pa.array(model.score(x))], [*columns, "score"])
+                x = np.array([features(t) for t in part.column(body).to_pylist()]).reshape(part.num_rows, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(model.score(x))], [*names, "score"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(scored, docs.select(*columns).schema.add("score", "double"))
+    return df.mapInArrow(scored, df.select(*names).schema.add("score", "double")).toDF(*columns, "score")

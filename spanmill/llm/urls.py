@@ -3,11 +3,18 @@
 Hand-made rules (host, path prefix) decide what they fit, the longest first. Their
 verdicts label URLs for FP-growth, which mines combinations of URL tokens that go
 with a verdict. Mined rules are pruned by support and confidence, and where a subset
-says the same as surely. They are posted under their least frequent token in an inverted
-index; a URL looks up its tokens and takes the verdict of the surest rule that it
-contains whole (ties: more tokens, then block). A URL that nothing fits is allowed.
+says the same as surely. They are posted under their rarest token in an inverted index;
+a URL looks up its tokens and takes the verdict of the surest rule that it contains
+whole (ties: block). A URL that nothing fits is allowed.
 
-A NULL url is empty. Repeated rows are judged each on its own.
+What is mined is reduced first, without changing any verdict. Tokens that stand in the
+same labelled URLs are one item, so a family of URLs with long common parts makes no
+power set; a URL has an item when it has any of its tokens. A token that always goes with
+one verdict is a rule by itself, surer than any that it would be part of, and is not
+combined. What FP-growth gets are items that neither decide alone nor repeat each other.
+
+A NULL url is empty. Repeated rows are judged each on its own. Urls may be of any length;
+their tokens are distinct. Columns may have any names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +23,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import counted, cut, sealed, small
+
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
-#: Rules are few: their number is bounded by the support, and checked.
+#: Rules up to which they are pruned and broadcast; more are joined as they are, to the same verdicts.
 MAX_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,44 +61,78 @@ def tokens(host: Column, path: Column, query: Column) -> Column:
     return F.array_distinct(F.concat(labels, top, segments, keys))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], str, float]]:
-    """(tokens, verdict, confidence) of the rules that remain, from ``labelled`` (items, verdict)."""
-    rows = labelled.select(F.concat("items", F.array(F.concat(F.lit("y:"), F.col("verdict")))).alias("items"))
-    if rows.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    said = model.associationRules.where(F.startswith(F.get("consequent", F.lit(0)), F.lit("y:")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("y:"))))
-    got = said.select("antecedent", F.get("consequent", F.lit(0)).alias("y"), "confidence").limit(MAX_RULES + 1).collect()
-    if len(got) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; raise min_support")
+_INDEX = "item string, antecedent array<string>, said string, confidence double"
+_TOKENS = "token string, item string, n bigint, alone struct<confidence:double,said:string>"
+
+
+def _items(flat: DataFrame, least: float, min_confidence: float) -> DataFrame:
+    """token, item, n, block and the rule ``alone`` that it is, of the tokens in at least ``least`` rows of ``flat`` (id, verdict, token).
+
+    Tokens of one item stand in the same rows: equal counts and equal sums of two hashes
+    of the rows' ids. ``n`` are its rows, ``block`` those of them that are blocked.
+    """
+    h, g = F.xxhash64("id").cast("decimal(38,0)"), F.xxhash64(F.lit("again"), "id").cast("decimal(38,0)")
+    per = flat.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.sum(h).alias("h"), F.sum(g).alias("g")).where(F.col("n") >= least)
+    same = per.groupBy("n", "block", "h", "g").agg(F.min("token").alias("item"))
+    rule = lambda k, said: F.when((k >= least) & (k >= min_confidence * F.col("n")), F.struct((k / F.col("n")).alias("confidence"), F.lit(said).alias("said")))
+    alone = F.greatest(rule(F.col("block"), "block"), rule(F.col("n") - F.col("block"), "allow"))
+    return per.join(same, ["n", "block", "h", "g"]).select("token", "item", "n", "block", alone.alias("alone"))
+
+
+def _pruned(rules: list[tuple]) -> list[tuple[list[str], str, float]]:
+    """The rules of which no subset says the same as surely."""
     kept: list[tuple[frozenset, str, float]] = []
     by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (len(r[0]), sorted(r[0]), r[1])):
-        have = frozenset(r[0])
-        inside = [k for t in have for k in by.get(t, [])]
-        if any(k[0] <= have and k[1] == r[1] and k[2] >= r[2] for k in inside):
+    for a, y, c in sorted(((frozenset(a), y, float(c)) for a, y, c in rules), key=lambda r: (len(r[0]), sorted(r[0]), r[1])):
+        if any(k[0] <= a and k[1] == y and k[2] >= c for t in a for k in by.get(t, [])):
             continue
-        kept.append((have, r[1], float(r[2])))
-        for t in have:
+        kept.append((a, y, c))
+        for t in a:
             by.setdefault(t, []).append(kept[-1])
-    return [(sorted(a), y[2:], c) for a, y, c in kept]
+    return [(sorted(a), y, c) for a, y, c in kept]
+
 
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_rules: int = MAX_RULES) -> tuple[DataFrame, int, DataFrame, int]:
+    """From ``labelled`` (id, items, verdict; a table): the frequent tokens (token, item, n, alone) and the inverted index (item, antecedent, said, confidence) of the combinations, each with its rows."""
+    spark = labelled.sparkSession
+    n = labelled.count()
+    if not n:
+        return spark.createDataFrame([], _TOKENS), 0, spark.createDataFrame([], _INDEX), 0
+    flat = labelled.select("id", "verdict", F.explode("items").alias("token"))
+    items, many = counted(_items(flat, min_support * n, min_confidence), "items")
+    mixed = items.where("token = item AND block > 0 AND block < n").select("token")
+    baskets = flat.join(small(mixed, many), "token").groupBy("id").agg(F.collect_list("token").alias("mixed"))
+    # rows without a mixed token still count for the support
+    rows = labelled.select("id", "verdict").join(baskets, "id", "left").select(F.concat(F.coalesce("mixed", F.array().cast("array<string>")), F.array(F.concat(F.lit("y:"), F.col("verdict")))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(cut(rows, "baskets"))
+    said = F.get("consequent", F.lit(0))
+    combined = model.associationRules.where(F.startswith(said, F.lit("y:")) & (F.size("antecedent") > 1) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("y:"))))
+    rules, found = counted(combined.select("antecedent", F.regexp_replace(said, "^y:", "").alias("said"), "confidence"), "rules")
+    if found <= max_rules:
+        kept = _pruned([tuple(r) for r in rules.collect()])
+        rules = spark.createDataFrame(kept, "antecedent array<string>, said string, confidence double")
+    # posted under the rarest item
+    posted = rules.withColumn("id", F.struct("antecedent", "said")).select("*", F.explode("antecedent").alias("item")).join(small(items.where("token = item").select("item", "n"), many), "item")
+    posted = posted.groupBy("id").agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.first("confidence").alias("confidence"))
+    index, n = counted(posted.select("item", "id.antecedent", "id.said", "confidence"), "index")
+    return items.select("token", "item", "n", "alone"), many, index, n
 
-def judge(pages: DataFrame, columns: list[str], url: str = "url", rules=RULES) -> DataFrame:
+
+def judge(pages: DataFrame, columns: list[str], url: str = "url", rules=RULES, min_support: float = MIN_SUPPORT, max_rules: int = MAX_RULES) -> DataFrame:
     """``columns``, host, path, rule and verdict of every row."""
-    spark = pages.sparkSession
-    host, path, query = parts(F.col(url))
-    df = pages.select(*columns, F.monotonically_increasing_id().alias("_row"), host.alias("host"), path.alias("path"), query.alias("_query"))
+    df, names, (address,) = sealed(pages, columns, url)
+    host, path, query = parts(F.col(address))
+    df = df.select(*names, host.alias("host"), path.alias("path"), query.alias("_query"))
     df = df.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("_items", tokens(F.col("host"), F.col("path"), F.col("_query")))
-    mined = mine(df.where("_fit IS NOT NULL").select(F.col("_items").alias("items"), F.col("_fit.verdict").alias("verdict")))
-    often: dict[str, int] = {}
-    for a, _, _ in mined:
-        for t in a:
-            often[t] = often.get(t, 0) + 1
-    index = spark.createDataFrame([(min(a, key=lambda t: (often[t], t)), a, y, c) for a, y, c in mined], "token string, antecedent array<string>, said string, confidence double")
-    open_rows = df.where("_fit IS NULL").select("_row", "_items", F.explode("_items").alias("token"))
-    # at most MAX_RULES rows
-    met = open_rows.join(F.broadcast(index), "token").where(F.size(F.array_except("antecedent", "_items")) == 0)
-    best = met.groupBy("_row").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), "said")).alias("best"))
-    out = df.join(best, "_row", "left")
-    return out.select(*columns, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), F.col("best.said"), F.lit(DEFAULT)).alias("verdict"))
+    labelled = cut(df.where("_fit IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), F.col("_items").alias("items"), F.col("_fit.verdict").alias("verdict")), "labelled")
+    known, many, index, n = mine(labelled, min_support, max_rules=max_rules)
+    # every row is numbered once and met in one pass
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("token", F.explode_outer(F.when(F.col("_fit").isNull(), F.col("_items"))))
+    kept = [F.first(c).alias(c) for c in (*names, "host", "path", "_fit")]
+    per = rows.join(small(known, many), "token", "left").groupBy("_row").agg(*kept, F.collect_set("item").alias("_has"), F.max("alone").alias("_best"))
+    if n:
+        met = per.withColumn("item", F.explode_outer(F.when(F.size("_has") > 1, F.col("_has")))).join(small(index, n), "item", "left")
+        whole = F.when(F.size(F.array_except("antecedent", "_has")) == 0, F.struct("confidence", "said"))
+        per = met.groupBy("_row").agg(*kept, F.greatest(F.first("_best"), F.max(whole)).alias("_best"))
+    out = per.select(*names, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), F.col("_best.said"), F.lit(DEFAULT)).alias("verdict"))
+    return out.toDF(*columns, "host", "path", "rule", "verdict")

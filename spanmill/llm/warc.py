@@ -9,48 +9,72 @@ Reading selects records from the index, sorts them by archive and offset, joins
 ranges that lie within ``GAP`` bytes into one read of at most ``READ`` bytes, and
 parses the records. Records are gzip members, as is usual for WARC.
 
-NULL html is an empty payload, NULL urls are empty; repeated page_ids each get a record.
+Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the smallest
+page_id is the response; among rows with that page_id (or where all are NULL) it is the
+one with the smallest url, and of rows equal in that as well any one. The others revisit
+it, by the standard ``WARC-Refers-To`` and, for rows, by its page_id. NULL page_ids come last.
+
+NULL html is an empty payload, NULL urls are empty; every row gets a record, payloads of
+any length. An empty table gives no archive and an empty index.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import cut, fresh_path
+from spanmill.llm.common import counted, cut, fresh_path, small, small_arrow_batches
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
-GAP, READ, TASK_BYTES = 64 << 10, 8 << 20, 64 << 20
+GAP, READ, TASK_BYTES = 64 << 10, 4 << 20, 64 << 20
 INDEX = "archive string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string"
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to, first: which record each page gets."""
+    """page_id, url, html, size, digest, revisit, refers_to, first_url: which record each page gets. Html moves only to tell rows of one page_id apart."""
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"size": F.octet_length("html").cast("bigint"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
-    firsts = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(F.octet_length("html") >= REVISIT_BYTES)
-    firsts = firsts.groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    firsts = cut(firsts, "repeated")  # only payloads that repeat
-    return p.join(firsts, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= REVISIT_BYTES) & (F.col("page_id") != F.col("first")), F.col("first")))
-
-
-def record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to) -> bytes:
+    large = p.where(F.col("size") >= REVISIT_BYTES).select("page_id", "url", "digest")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
+    firsts = large.groupBy("digest").agg(least.alias("x"), F.count("*").alias("n")).where("n > 1")
+    firsts, n = counted(firsts.select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")), "repeated")  # only payloads that repeat
+    same = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("url") == F.col("first_url"))
+    repeats = firsts.alias("f").join(large.alias("l"), (F.col("l.digest") == F.col("f.digest")) & F.col("l.page_id").eqNullSafe(F.col("f.first")) & (F.col("l.url") == F.col("f.first_url")))
+    repeats, again = counted(repeats.groupBy(F.col("f.digest").alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("again")), "again")
+    p = p.join(small(firsts, n), "digest", "left").withColumn("revisit", (F.col("size") >= REVISIT_BYTES) & F.col("first_url").isNotNull() & ~same)
+    if again:  # rows equal in all: one of them is the response
+        p = p.join(small(repeats, again), "digest", "left")
+        tied = F.col("again") & ~F.col("revisit")
+        w = Window.partitionBy("digest").orderBy("url")
+        split = p.where(tied).withColumn("revisit", F.row_number().over(w) > 1)
+        p = p.where(~F.coalesce(tied, F.lit(False))).unionByName(split).drop("again")
+    return p.withColumn("refers_to", F.when(F.col("revisit"), F.col("first")))
+
+
+def record_id(digest: str | None) -> str:
+    """Of a response that others may revisit, by its payload; of any other record, a new one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'sha256:' + digest) if digest else uuid.uuid4()}>"
+
+
+def record(page_id, url: str, payload: bytes, size: int, digest: str, revisit: bool, refers_to) -> bytes:
     """One record, uncompressed. A revisit has no block, but its payload's size and digest."""
-    kind = "response" if refers_to is None else "revisit"
-    block = payload if refers_to is None else b""
-    uri = url.replace("\r", "%0D").replace("\n", "%0A")
+    block = b"" if revisit else payload
+    own = record_id(digest if not revisit and size >= REVISIT_BYTES else None)
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", f"WARC-Target-URI: {uri}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8",
-        f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Target-URI: {url.replace('\r', '%0D').replace('\n', '%0A')}", "WARC-Date: 1970-01-01T00:00:00Z",
+        "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To: {refers_to}"]
+    if "\r" in url or "\n" in url:  # a header line can't hold these
+        head.append(f"X-Target-URI-JSON: {json.dumps(url)}")
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(digest)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -61,7 +85,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
+    headers = dict(x.partition(": ")[::2] for x in lines[1:])
     return headers, rest[: int(headers["Content-Length"])]
 
 
@@ -82,13 +106,13 @@ def write_archives(records: DataFrame, path: str, level: int = 1) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 rows = []
-                for page_id, url, html, size, digest, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "refers_to")), strict=True):
+                for page_id, url, html, size, digest, revisit, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "revisit", "refers_to")), strict=True):
                     if out is None:
                         out = files.open_output_stream(f"{root}/{name}", compression=None)
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    data = pack.compress(record(page_id, url, html, size, digest, refers_to)) + pack.flush()
+                    data = pack.compress(record(page_id, url, html, size, digest, revisit, refers_to)) + pack.flush()
                     out.write(data)
-                    rows.append((f"{path}/{name}", at, len(data), url, digest, page_id, "response" if refers_to is None else "revisit"))
+                    rows.append((f"{path}/{name}", at, len(data), url, digest, page_id, "revisit" if revisit else "response"))
                     at += len(data)
                 if rows:
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -96,7 +120,7 @@ def write_archives(records: DataFrame, path: str, level: int = 1) -> DataFrame:
         if out is not None:
             out.close()
 
-    return records.select("page_id", "url", F.col("html").cast("binary").alias("html"), "size", "digest", "refers_to").mapInArrow(write, INDEX)
+    return records.select("page_id", "url", F.col("html").cast("binary").alias("html"), "size", "digest", "revisit", "refers_to").mapInArrow(write, INDEX)
 
 
 def ranges(rows: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -127,8 +151,9 @@ def _read(batches, payloads: bool):
                         revisit = headers["WARC-Type"] == "revisit"
                         digest = headers["WARC-Payload-Digest"].partition(":")[2] if revisit else hashlib.sha256(block).hexdigest()
                         size = int(headers["X-Payload-Length"]) if revisit else len(block)
-                        page = headers["X-Page-ID"]
-                        out.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], digest, size, int(headers["X-Refers-To"]) if revisit else None, block if payloads and not revisit else None))
+                        url = json.loads(headers["X-Target-URI-JSON"]) if "X-Target-URI-JSON" in headers else headers["WARC-Target-URI"]
+                        page, first = headers["X-Page-ID"], headers.get("X-Refers-To-Page")
+                        out.append((int(page) if page else None, url, headers["WARC-Type"], digest, size, int(first) if first else None, block if payloads and not revisit else None))
                     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
 
@@ -137,16 +162,22 @@ RECORDS = "page_id bigint, url string, record_type string, payload_digest string
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that ``index`` (or a selection of it) names, digests computed from what was read; ``payloads`` False leaves the blocks out."""
-    chunk = F.expr(f"offset div {TASK_BYTES}L")
-    # a few ranges of one archive to a task, in order
-    parts = index.select("archive", "offset", "length").repartition("archive", chunk).sortWithinPartitions("archive", "offset")
+    """The records that ``index`` (or a selection of it; a table) names, digests computed from what was read; ``payloads`` False leaves the blocks out.
+
+    Stretches of ``READ`` bytes are dealt out whole, to as many tasks as their bytes ask for.
+    """
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), min(-(-total // READ), 2 * spark.sparkContext.defaultParallelism), 1)
+    stretch = F.expr(f"offset div {READ}L")
+    parts = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return parts.mapInArrow(lambda batches: _read(batches, payloads), RECORDS)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, payloads: bool = True) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives, then read every record back."""
     path = path or fresh_path(pages.sparkSession, "warc")
-    index = cut(write_archives(plan_records(pages), path), "index")
+    records = plan_records(pages.select("page_id", "url", "html"))
+    with small_arrow_batches(pages.sparkSession, 1_000, 8 << 20):
+        index = cut(write_archives(records, path), "index")
     return read_records(index, payloads)
-
