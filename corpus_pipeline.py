@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmill.sources.workspace import remove
 from spanmill.llm import decontaminate, langid, minhash, packing, pii
-from spanmill.llm.common import fresh_path
+from spanmill.llm.common import Scratch, fresh_path
 
 
 def _sealed(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
@@ -52,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Personal data is replaced by its kind; ``n_chars``, where there is one, follows the text."""
     df, names, _, text = _sealed(docs)
     got = pii.annotate(df, names, text)
-    clean = got.withColumn(text, F.when(F.col(text).isNotNull(), pii.redact(F.col(text), F.col("spans"))))
+    clean = pii.with_redacted(got, text, "spans")
     for i, n in enumerate(docs.columns):
         if n == "n_chars":
             clean = clean.withColumn(names[i], F.when(F.col(names[i]).isNotNull(), F.length(text)).cast(docs.schema[i].dataType))
@@ -69,11 +70,14 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchm
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with Scratch(spark):  # what a stage wrote for itself goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
