@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmill.llm.common import cut, sealed
 
@@ -166,7 +167,7 @@ def _joined(df: DataFrame, profiles: DataFrame, names: list[str], body: str, top
                 grams = [ranked(t, top).astype(np.int64) for t in part.column(body).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(grams, pa.list_(pa.int64()))], [*names, "_grams"])
 
-    own = df.mapInArrow(rank, df.select(*names).schema.add("_grams", "array<bigint>")).withColumn("_row", F.monotonically_increasing_id())
+    own = df.mapInArrow(rank, df.select(*names).schema.add("_grams", T.ArrayType(T.LongType()))).withColumn("_row", F.monotonically_increasing_id())
     flat = own.select(*names, "_row", F.size("_grams").alias("_n"), F.posexplode_outer("_grams").alias("_at", "gram"))
     near = F.abs(F.col("r") - 1 - F.col("_at")) - top
     per = flat.join(profiles, "gram", "left").groupBy("_row", "lang").agg(*[F.first(c).alias(c) for c in (*names, "_n")], F.sum(near).alias("_less"))

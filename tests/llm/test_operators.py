@@ -587,7 +587,7 @@ def test_repeated_documents_are_packed_each(spark):
 
 @pytest.mark.parametrize("lengths", ["1100", "1025 + id % 900", "1 + id * 7919 % 2048", "CASE WHEN id % 5000 = 0 THEN 1024 ELSE 1024 + id % 3 END"])
 def test_blocks_are_merged_by_few_bins(spark, lengths):
-    """100,000 pieces in 40 blocks: what a block sends on is bounded, and the blocks together pack as one would, but for a bin each."""
+    """100,000 pieces in 40 blocks: what a block sends on is bounded, and small blocks together pack within 2 % of one."""
     items = spark.range(100_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", f"CAST({lengths} AS BIGINT) AS length", "0L AS ids_crc32")
     path = packing.cut(items, "items")
     got = packing.pack(path, block=2500).toPandas()
@@ -596,7 +596,7 @@ def test_blocks_are_merged_by_few_bins(spark, lengths):
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
     _, _, best = packing.best_fit(got["length"].tolist())
-    assert len(sums) <= len(best) + 40
+    assert len(sums) <= 1.02 * len(best) + 1
     assert sum(packing.rooms(best, 2048, 2040, 8)) <= 8 * 2040 + 1
 
 
