@@ -15,6 +15,9 @@ ROWS_PER_FILE = 500_000
 #: Rows of a few numbers up to which a table is broadcast; bytes of larger things.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
+#: Edges up to which the least neighbours of all nodes are broadcast.
+STAR_ROWS = 250_000
+
 _scratch: list[Scratch] = []
 
 
@@ -139,16 +142,22 @@ def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame
     """(node, component): for the nodes of ``edges`` (u, v: BIGINT; a table) the smallest node reachable; smallest nodes are left out.
 
     Alternating large-star and small-star steps until nothing changes; then every node
-    has one edge, to its component. Minima are plain aggregates and are joined back, so a
-    hub's neighbours are never gathered in one place; each step ends in a table. A step
-    makes no more edges than it had, so their number, ``rows`` at first, sizes its files.
+    has one edge, to its component. Minima are plain aggregates and are joined back, as a
+    broadcast while edges are few and from a table of their own beyond that, so that a hub's
+    neighbours need not lie in one task; each step ends in a table. A step makes no more
+    edges than it had, so their number, ``rows`` at first, sizes its files.
     """
+
+    def aside(least: DataFrame) -> DataFrame:
+        return F.broadcast(least) if rows is not None and rows <= STAR_ROWS else cut(least, "least")
+
     e, before = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(aside(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = aside(least)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         last = getattr(e, "_at", None)
         e, after = _marked_cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)

@@ -310,9 +310,12 @@ def _pairs_of_small(members: DataFrame) -> DataFrame:
 
 def _joined(cand: DataFrame, sets: DataFrame, sigs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
     """(node, component) after the candidates (u, v) that are linked have been joined."""
-    side = lambda p: sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
-    cand, n = counted(cand.distinct().join(side("u"), "u").join(side("v"), "v").mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
-    new, n = _linked(cand, n, sets)
+    cand, n = counted(cand.distinct(), "pairs")
+    often = cand.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("node")
+    often, many = counted(often, "often", n)
+    both = _signed(_signed(cand, "u", sigs, often, many), "v", sigs, often, many)
+    cand = cut(both.mapInArrow(_estimated, "u bigint, v bigint"), "candidates")
+    new, n = _linked(cand, sets, often, many)
     if not n:
         return labels
     if labels is None:
@@ -320,13 +323,20 @@ def _joined(cand: DataFrame, sets: DataFrame, sigs: DataFrame, labels: DataFrame
     return connected_components(new.unionByName(labels.toDF("u", "v")), n + labels.count())  # earlier links count as their components' stars
 
 
-def _linked(cand: DataFrame, rows: int, sets: DataFrame) -> tuple[DataFrame, int]:
+def _signed(cand: DataFrame, p: str, sigs: DataFrame, often: DataFrame, many: int) -> DataFrame:
+    """The candidates with size and signature of node ``p``; those of the nodes ``often`` are broadcast where they are few."""
+    side = sigs.select(F.col("rep").alias(p), F.col("nset").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
+    if not 0 < many * 256 <= BROADCAST_BYTES:
+        return cand.join(side, p)
+    hot = F.broadcast(often.select(F.col("node").alias(p)))
+    return cand.join(hot, p, "left_semi").join(F.broadcast(side.join(hot, p, "left_semi")), p).unionByName(cand.join(hot, p, "left_anti").join(side, p))
+
+
+def _linked(cand: DataFrame, sets: DataFrame, often: DataFrame, many: int) -> tuple[DataFrame, int]:
     """Those of the candidates (u, v) that are linked, by their full sets, as a table; and their number."""
     schema, binary = "u bigint, v bigint", F.lit(None).cast("binary")
     left, right = (sets.select(F.col("node").alias(n), F.col("s").alias(c)) for n, c in (("u", "a"), ("v", "b")))
-    often = cand.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("node")
-    often, n = counted(often, "often", rows)
-    hot = _held(sets, often) if 0 < n <= BROADCAST_ROWS else None
+    hot = _held(sets, often) if 0 < many <= BROADCAST_ROWS else None
     with small_arrow_batches(sets.sparkSession):
         if hot is None:
             return counted(cand.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(None), schema), "links")
