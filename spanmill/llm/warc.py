@@ -42,19 +42,16 @@ def plan_records(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"size": F.octet_length("html").cast("bigint"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
     large = p.where(F.col("size") >= REVISIT_BYTES).select("page_id", "url", "digest")
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
-    firsts = large.groupBy("digest").agg(least.alias("x"), F.count("*").alias("n")).where("n > 1")
-    firsts, n = counted(firsts.select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url")), "repeated")  # only payloads that repeat
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    equal = large.groupBy("digest", "page_id", "url").agg(F.count("*").alias("c"))
+    firsts = equal.groupBy("digest").agg(F.min(order).alias("x"), F.min_by("c", order).alias("again"), F.sum("c").alias("n")).where("n > 1")
+    firsts, n = counted(firsts.select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"), "again"), "repeated")  # only payloads that repeat
     same = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("url") == F.col("first_url"))
-    repeats = firsts.alias("f").join(large.alias("l"), (F.col("l.digest") == F.col("f.digest")) & F.col("l.page_id").eqNullSafe(F.col("f.first")) & (F.col("l.url") == F.col("f.first_url")))
-    repeats, again = counted(repeats.groupBy(F.col("f.digest").alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("again")), "again")
     p = p.join(small(firsts, n), "digest", "left").withColumn("revisit", (F.col("size") >= REVISIT_BYTES) & F.col("first_url").isNotNull() & ~same)
-    if again:  # rows equal in all: one of them is the response
-        p = p.join(small(repeats, again), "digest", "left")
-        tied = F.col("again") & ~F.col("revisit")
-        w = Window.partitionBy("digest").orderBy("url")
-        split = p.where(tied).withColumn("revisit", F.row_number().over(w) > 1)
-        p = p.where(~F.coalesce(tied, F.lit(False))).unionByName(split).drop("again")
+    if not firsts.where("again > 1").isEmpty():  # rows equal in all: one of them is the response
+        tied = F.coalesce((F.col("again") > 1) & ~F.col("revisit") & (F.col("size") >= REVISIT_BYTES), F.lit(False))
+        split = p.where(tied).withColumn("revisit", F.row_number().over(Window.partitionBy("digest").orderBy("url")) > 1)
+        p = p.where(~tied).unionByName(split)
     return p.withColumn("refers_to", F.when(F.col("revisit"), F.col("first")))
 
 

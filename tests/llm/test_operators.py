@@ -637,7 +637,7 @@ def test_columns_of_any_name(spark, edge):
     made = [pii.annotate(docs, cols), licenses.scan(docs, cols), decontaminate.contamination(docs, items, columns=tuple(cols)), urls.judge(pages, pages.columns), langid.identify(docs, profiles, cols), quality.score(docs, model, cols)]
     for out in made:
         assert out.count() == n and out.columns[: len(cols)] == cols
-    assert minhash.near_duplicates(docs).count() == n == packing.pack_documents(docs).count()
+    assert minhash.near_duplicates(docs).count() == n <= packing.pack_documents(docs).count()
     assert warc.round_trip(docs.withColumns({"page_id": F.col("doc_id"), "url": F.lit("u"), "html": F.col("text")})).count() == n
 
 
