@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: language, near duplicates, benchmark passages, personal data, packing.
 
 Stages take (spark, docs, sf_dir), are written as Parquet and read again. All but the
-last return the columns of their input. Columns beyond doc_id and text are carried
+last return the columns of their input. Tables that a stage writes for itself, and the
+stage before, are deleted when its result stands. NULLs, empty and long texts, ties,
+repeated rows and empty tables are as the operators define them. Columns beyond doc_id and text are carried
 under positional names, so that no name can clash with an operator's own.
 """
 
@@ -10,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.sources.workspace import remove
 from spanmill.llm import decontaminate, langid, minhash, packing, pii
 from spanmill.llm.common import Scratch, fresh_path
+from spanmill.sources.workspace import remove
 
 
 def _sealed(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
@@ -23,7 +25,10 @@ def _sealed(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go; the profiles are learned from the given ones."""
+    """Documents without a determinable language go; the profiles are learned from the given ones.
+
+    Where nothing can be learned (no lang column, or no text with a lang), none is rejected.
+    """
     df, names, _, text = _sealed(docs)
     profiles = langid.learn(docs.select("text", "lang")) if "lang" in docs.columns else {}
     if not profiles:
