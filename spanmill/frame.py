@@ -176,6 +176,13 @@ class IntervalFrame:
         s = self.stats()
         return max(64, -(-s.rows // RANGE_ROWS)) if s.max_rows > HOT_ROWS else None
 
+    def window_parts_with(self, other: IntervalFrame) -> int | None:
+        """As ``window_parts``, for windows over the rows of both frames."""
+        split = [n for n in (self.window_parts(), other.window_parts()) if n]
+        if split:
+            return sum(split)
+        return 64 if self.stats().max_rows + other.stats().max_rows > HOT_ROWS else None
+
     # element access ------------------------------------------------------------------
 
     def with_index(self) -> DataFrame:

@@ -84,7 +84,7 @@ def search_values_batch(self, queries) -> DataFrame:
 def has_overlaps(self, queries, strategy="auto") -> DataFrame:
     """qid, hit: whether anything overlaps, false included."""
     if strategy in ("sweep", "auto"):
-        return sweep.running_exists(queries, self, self.window_parts()).withColumnRenamed("ord", "qid")
+        return sweep.running_exists(queries, self, self.window_parts_with(queries)).withColumnRenamed("ord", "qid")
     return count(self, queries, strategy).select("qid", (F.col("n") > 0).alias("hit"))
 
 
@@ -109,7 +109,7 @@ def count(self, queries, strategy="auto") -> DataFrame:
         dense = s.rows and s.high > s.low and s.max_rows * s.typical / (s.high - s.low) > SWEEP_ROWS
         strategy = "sweep" if dense else "auto"
     if strategy == "sweep":
-        return sweep.rank_count(queries, self, self.window_parts()).withColumnRenamed("ord", "qid")
+        return sweep.rank_count(queries, self, self.window_parts_with(queries)).withColumnRenamed("ord", "qid")
     return rangejoin.per_probe(queries, self, [F.count("b_start").alias("n")], strategy=strategy)
 
 
@@ -123,7 +123,7 @@ def coverage(self, queries, strategy="auto", inclusive: bool = False, carry: lis
 def total_overlaps(self, queries, strategy="auto") -> DataFrame:
     """One row, n: overlaps of all queries together."""
     if strategy == "sweep":
-        return sweep.rank_count(queries, self, self.window_parts()).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+        return sweep.rank_count(queries, self, self.window_parts_with(queries)).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
     return _pairs(self, queries, [], strategy).agg(F.count("*").alias("n"))
 
 
@@ -134,5 +134,5 @@ def upper_bound(self, points) -> DataFrame:
     events = sweep.keyed(self.df, keys).select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.lit(1).cast("bigint").alias("_one"), F.lit(None).cast(kind).alias("qid")).unionByName(
         points.df.select(*keys, F.col("start").alias("_x"), F.lit(1).alias("_o"), F.lit(0).cast("bigint").alias("_one"), F.col("ord").alias("qid"))
     )
-    run = sweep.run(events, keys, [("_n", "_one", "sum")], self.window_parts())
+    run = sweep.run(events, keys, [("_n", "_one", "sum")], self.window_parts_with(points))
     return run.where("_o = 1").select("qid", F.when(F.col("_n") > 0, F.col("_n") - 1).alias("idx"))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions.predicates import overlaps
+from spanmill.plans import sweep
 
 SPAN = 32
 SMALL_ROWS = 2_000
@@ -83,7 +84,7 @@ def _tagged(role: int, level: int, *names: str):
     return lambda x: F.struct(F.lit(role).alias(names[0]), F.lit(level).alias(names[1]), x.alias(names[2]))
 
 
-def met(a: DataFrame, b: DataFrame, grid: Grid, more: Column, how: str = "inner", owned: bool = True, parts: int | None = None, keys: list[str] = ()) -> DataFrame:
+def met(a: DataFrame, b: DataFrame, grid: Grid, more: Column, how: str = "inner", parts: int | None = None, keys: list[str] = ()) -> DataFrame:
     """The join of two frames (columns ``a_*`` and ``b_*``) over the bins of ``grid``, in ``parts`` tasks if given."""
     ax = grid.exploded(a, "a_start", "a_end", True).withColumnsRenamed({"_bin": "a__bin", "_role": "a__role", "_level": "a__level"})
     bx = grid.exploded(b, "b_start", "b_end", False).withColumnsRenamed({"_bin": "b__bin", "_role": "b__role", "_level": "b__level"})
@@ -93,8 +94,7 @@ def met(a: DataFrame, b: DataFrame, grid: Grid, more: Column, how: str = "inner"
     on = (F.col("a__bin") == F.col("b__bin")) & more
     if grid.levels > 1:
         on = on & (F.col("a__role") == F.col("b__role")) & (F.col("a__level") == F.col("b__level"))
-    if owned:
-        on = on & grid.owns("a_start", "b_start", "a__level")
+    on = on & grid.owns("a_start", "b_start", "a__level")
     out = ax.join(bx, on, how)
     return out.drop("a__bin", "a__role", "a__level", "b__bin", "b__role", "b__level")
 
@@ -223,7 +223,7 @@ def per_probe(a, b, aggregates: list[Column], carry: list[str] = (), b_columns:
 
 
 def exists(a, b, negate: bool = False, strategy: str = "auto") -> DataFrame:
-    """Rows of a that have (or, negated, lack) an overlap in b."""
+    """Rows of a that have (or, negated, lack) an overlap in b: by keys or a small side, else by a running maximum."""
     keys = _keys(a, b)
     how = choose(a, b, keys) if strategy == "auto" else strategy
     left, right = sides(a, b, [])
@@ -233,8 +233,6 @@ def exists(a, b, negate: bool = False, strategy: str = "auto") -> DataFrame:
         return left.join(right, cond, kind)
     if how == "broadcast" and b.stats().rows <= SMALL_ROWS:
         return left.join(F.broadcast(right), cond, kind)
-    grid = grid_of(a, b)
-    if not negate:
-        return met(left, right, grid, cond, kind, owned=False).dropDuplicates(["a_ord"])
-    got = met(left, right, grid, cond, "left").groupBy("a_ord").agg(F.first(F.struct(*left.columns)).alias("_a"), F.count("b_start").alias("_n"))
-    return got.where("_n = 0").select(*[F.col(f"_a.{c}").alias(c) for c in left.columns])
+    # a join would make all pairs to tell that there is one
+    got = sweep.marked(a, b, a.window_parts_with(b)).where(~F.col("_hit") if negate else F.col("_hit"))
+    return got.select([F.col(c).alias(f"a_{c}") for c in a.df.columns])

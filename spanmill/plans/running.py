@@ -38,7 +38,8 @@ def running(df: DataFrame, keys: list[str], order: list, specs: list[tuple[str,
     totals = df.groupBy(*keys, RANGE).agg(*[agg[a](s).alias(f"_t_{n}") for n, s, a in specs])
     before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(UNBOUNDED, -1)
     carry = totals.select(*keys, RANGE, *[agg[a](f"_t_{n}").over(before).alias(f"_c_{n}") for n, s, a in specs])
-    out = _joined(df, carry, keys)
+    # each range to a task of its own, whatever the number of shuffle partitions
+    out = _joined(df.repartitionById(parts, F.col(RANGE)), carry, keys)
     w = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(UNBOUNDED, last)
     for n, s, a in specs:
         local = agg[a](s).over(w)
@@ -51,7 +52,8 @@ def _joined(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     cond = F.col(RANGE) == F.col("_kr")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(renamed, cond).drop("_kr", *[f"_k_{k}" for k in keys])
+    # without keys there is one row for each range
+    return df.join(renamed if keys else F.broadcast(renamed), cond).drop("_kr", *[f"_k_{k}" for k in keys])
 
 
 def islands(df: DataFrame, keys: list[str], order: list, parts: int | None = None) -> DataFrame:

@@ -46,12 +46,19 @@ def rank_count(a, b, parts: int | None = None) -> DataFrame:
     )
 
 
-def running_exists(a, b, parts: int | None = None) -> DataFrame:
-    """(ord, hit): whether the largest end among ``b.start <= q.end`` reaches ``q.start``."""
+def marked(a, b, parts: int | None = None) -> DataFrame:
+    """The rows of a with ``_hit``: whether the largest end among ``b.start <= a.end`` reaches ``a.start``. Every row of either side moves once; no pair is made."""
     keys = list(a.keys)
-    kind, at = a.df.schema["ord"].dataType, b.df.schema["start"].dataType
-    events = keyed(b.df, keys).select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.col("end").alias("_end"), F.lit(None).cast(kind).alias("_q"), F.lit(None).cast(at).alias("_qs")).unionByName(
-        a.df.select(*keys, F.col("end").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast(at).alias("_end"), F.col("ord").alias("_q"), F.col("start").cast(at).alias("_qs"))
+    own = [c for c in a.df.columns if c not in keys]
+    none = [F.lit(None).cast(a.df.schema[c].dataType).alias(c) for c in own]
+    at = b.df.schema["end"].dataType
+    events = keyed(b.df, keys).select(*keys, F.col("start").alias("_x"), F.lit(0).alias("_o"), F.col("end").alias("_end"), *none).unionByName(
+        a.df.select(*keys, F.col("end").alias("_x"), F.lit(1).alias("_o"), F.lit(None).cast(at).alias("_end"), *own)
     )
     got = run(events, keys, [("_m", "_end", "max")], parts)
-    return got.where("_o = 1").select(F.col("_q").alias("ord"), F.coalesce(F.col("_m") >= F.col("_qs"), F.lit(False)).alias("hit"))
+    return got.where("_o = 1").select(*a.df.columns, F.coalesce(F.col("_m") >= F.col("start"), F.lit(False)).alias("_hit"))
+
+
+def running_exists(a, b, parts: int | None = None) -> DataFrame:
+    """(ord, hit): whether a row of a overlaps any of b."""
+    return marked(a, b, parts).select("ord", F.col("_hit").alias("hit"))
